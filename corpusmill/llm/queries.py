@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import neighbours
+from corpusmill.llm import near_duplicates, neighbours
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,23 @@ def _similar(s: SparkSession, d: str) -> DataFrame:
     return neighbours.most_similar(neighbours.usable_vectors(table(s, d, "chunks"), "chunk_id", "embedding", 64, "loaded_at"))
 
 
+def _chunk_texts(s: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.texts(table(s, d, "chunks"), "chunk_id", "text", "chunks").unionByName(near_duplicates.texts(table(s, d, "kb_chunks"), "chunk_id", "text", "kb_chunks"))
+
+
+def _near_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.id_pairs(*near_duplicates.near_duplicate_sets(_chunk_texts(s, d), 0.6)).selectExpr("id_a AS chunk_id_a", "id_b AS chunk_id_b").distinct()
+
+
+def _near_duplicate_groups(s: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(*near_duplicates.near_duplicate_sets(_chunk_texts(s, d), 0.6)).selectExpr("space AS corpus", "id AS chunk_id", "group_id", "links")
+
+
 QUERIES: dict[str, Query] = {
     "p3_similar": lambda s, d: _similar(s, d).selectExpr("id AS chunk_id", "neighbour", "similarity"),
     "p3_found": lambda s, d: neighbours.mutual(_similar(s, d), 0.95).selectExpr("id_a AS chunk_id_a", "id_b AS chunk_id_b"),
+    "p6_found": _near_duplicates,
+    "p6_groups": _near_duplicate_groups,
 }
 
 ORACLE: dict[str, str] = {}
