@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from corpusmill.session import materialise
 WORDS = re.compile(r"[^\W_]+")
 SLOT_BITS, CHUNK_BITS = 18, 14
 SLOTS, CHUNK = 1 << SLOT_BITS, 1 << CHUNK_BITS  # counters behind the order of shingles: 1 MB whatever the data
-BITS = 256  # of a set's bitmap
+WIDTHS = (256, 512, 1024, 2048)  # bits of a set's bitmap, by its size
 BROADCAST_ROWS = 500_000
 
 _MASK = (1 << 64) - 1
@@ -50,54 +51,94 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@dataclass
+class Sets:
+    """The sets of shingles of some texts, one after another: hashes[begin[i] : begin[i] + size[i]], sorted."""
+
+    n_words: np.ndarray
+    size: np.ndarray
+    begin: np.ndarray
+    owner: np.ndarray
+    hashes: np.ndarray
+
+    def hash(self) -> np.ndarray:
+        """A 64-bit hash of each set; 0 for an empty one."""
+        m = _mix(self.hashes.view(np.uint64) + self.size[self.owner].astype(np.uint64))
+        out = np.zeros(len(self.size), dtype=np.uint64)
+        some = self.size > 0
+        if some.any():
+            at = self.begin[some]
+            out[some] = _mix(np.add.reduceat(m, at) ^ (np.bitwise_xor.reduceat(m, at) * np.uint64(3)))
+        return out.view(np.int64)
+
+    def bitmaps(self, bits: int, rows: np.ndarray) -> np.ndarray:
+        """Bit h mod `bits` is set for every hash h, for the chosen rows; as bytes."""
+        place = np.full(len(self.size), -1, dtype=np.int64)
+        place[rows] = np.arange(len(rows))
+        mine = place[self.owner]
+        ok = mine >= 0
+        out = np.zeros(len(rows) * bits, dtype=np.uint8)
+        out[mine[ok] * bits + (self.hashes[ok] & (bits - 1))] = 1
+        return np.packbits(out.reshape(len(rows), bits), axis=1)
+
+
 class Shingler:
-    """Texts to sorted arrays of distinct shingle hashes; word hashes are kept, up to a number of words."""
-
-    def __init__(self, words: int, keep: int = 200_000):
-        self.words, self.keep, self.known = words, keep, {}
-
-    def __call__(self, text: str) -> tuple[int, np.ndarray]:
-        found = WORDS.findall(text.lower())
-        known = self.known
-        try:
-            w = np.array([known[x] for x in found], dtype=np.uint64)
-        except KeyError:
-            if len(known) > self.keep:
-                known.clear()
-            for x in found:
-                if x not in known:
-                    known[x] = _word_hash(x)
-            w = np.array([known[x] for x in found], dtype=np.uint64)
-        n = len(w) - self.words + 1
-        if n < 1:
-            return len(found), np.empty(0, dtype=np.int64)
+    """Texts to sets of the hashes of their runs of words; hashes of words are kept, up to a number of words."""
+
+    def __init__(self, words: int, keep: int = 500_000):
+        self.words, self.keep, self.known, self.table = words, keep, {}, []
+
+    def __call__(self, texts: list[str]) -> Sets:
+        if len(self.known) > self.keep:
+            self.known, self.table = {}, []
+        known, flat, n_words = self.known, [], np.empty(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            found = WORDS.findall(text.lower())
+            n_words[i] = len(found)
+            try:
+                flat += [known[x] for x in found]
+            except KeyError:
+                for x in found:
+                    if x not in known:
+                        known[x] = len(self.table)
+                        self.table.append(_word_hash(x))
+                flat += [known[x] for x in found]
+        w = np.array(self.table, dtype=np.uint64)[np.array(flat, dtype=np.int64)] if flat else np.empty(0, dtype=np.uint64)
+        n = max(0, len(w) - self.words + 1)
         h = np.zeros(n, dtype=np.uint64)
-        for i in range(self.words):
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
-        return len(found), np.unique(h.view(np.int64))
+        for k in range(self.words):
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n])
+        owner = np.repeat(np.arange(len(texts)), n_words)
+        inside = owner[:n] == owner[self.words - 1 :] if n else np.empty(0, dtype=bool)
+        owner, h = owner[:n][inside], h[inside].view(np.int64)
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+        owner, h = owner[new], h[new]
+        size = np.bincount(owner, minlength=len(texts))
+        return Sets(n_words, size, np.cumsum(size) - size, owner, h)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that very long texts don't add up."""
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            yield b.slice(at, most)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def set_hash(shingles: np.ndarray) -> int:
-    """A 64-bit hash of a set."""
-    m = _mix(shingles.view(np.uint64) + np.uint64(len(shingles)))
-    both = int(m.sum(dtype=np.uint64)) ^ (int(np.bitwise_xor.reduce(m)) * 3 & _MASK)
-    return int(_mix(np.array([both], dtype=np.uint64)).view(np.int64)[0])
-
-
-def prefix_length(size: int, t: float) -> int:
+def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
     """Shingles of the prefix of a set of that size."""
-    return size - int(np.ceil(t * size - 1e-9)) + 1
+    return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """BITS bits as 64-bit words: bit h mod BITS is set for every hash h."""
-    out = np.zeros(BITS, dtype=np.uint8)
-    out[shingles & (BITS - 1)] = 1
-    return np.packbits(out).view(np.int64)
+def map_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: enough that sets of that size which have little in common differ in many."""
+    return np.select([size <= 160, size <= 320, size <= 640], WIDTHS[:3], WIDTHS[3])
 
 
 def texts(df: DataFrame, key: str, text: str, space: str) -> DataFrame:
@@ -106,28 +147,23 @@ def texts(df: DataFrame, key: str, text: str, space: str) -> DataFrame:
 
 
 def _pass_one(words: int, least: int):
-    """Rows of kind 0: (space, id, set, size) of each record; of kind 1: counters of shingles, in chunks of slots."""
+    """Rows (space, id, set, size) of each record, and rows (size: chunk, counts) of the counters of shingles by slot."""
+    names = ["space", "id", "set", "size", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, total = Shingler(words), np.zeros(SLOTS, dtype=np.int64)
-        for b in batches:
-            spaces, ids, sets, sizes, many = [], [], [], [], []
-            for space, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, s = make(x)
-                if n >= least and len(s):
-                    spaces.append(space)
-                    ids.append(i)
-                    sets.append(set_hash(s))
-                    sizes.append(len(s))
-                    many.append(s)
-            if many:
-                total += np.bincount(_slot(np.concatenate(many)), minlength=SLOTS)
-            none = pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(spaces, pa.string()), pa.array(ids, pa.string()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), none], names=["space", "id", "set", "size", "counts"])
+        for b in _parts(batches):
+            sets = make(b.column(2).to_pylist())
+            ok = np.flatnonzero((sets.n_words >= least) & (sets.size > 0))
+            counted = np.zeros(len(sets.size), dtype=bool)
+            counted[ok] = True
+            total += np.bincount(_slot(sets.hashes[counted[sets.owner]]), minlength=SLOTS)
+            take = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(sets.hash()[ok]), pa.array(sets.size[ok].astype(np.int32)), pa.nulls(len(ok), pa.binary())], names=names)
         if total.any():
             n = SLOTS // CHUNK
             blobs = [zlib.compress(c.tobytes(), 1) for c in total.reshape(n, CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], names=["space", "id", "set", "size", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -138,7 +174,7 @@ def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _postings(words: int, least: int, t: float, order, blocks):
-    """(token, tile, half, set, size, bitmap words) for each prefix shingle of each distinct set of the task's rows.
+    """(space, token, tile, half, set, size, map) for each prefix shingle of each distinct set of the task's rows.
 
     A shingle whose counter says that many records share it has blocks[slot] = B > 1: a set is in block set mod B and
     posted to the B tiles that pair that block with each.
@@ -146,45 +182,82 @@ def _postings(words: int, least: int, t: float, order, blocks):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, rank, cut = Shingler(words), set(), order.value, blocks.value
-        for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            maps, spaces = [], []
-            for space, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n, s = make(x)
-                if n < least or not len(s) or (space, own := set_hash(s)) in seen:
-                    continue
-                seen.add((space, own))
-                size = len(s)
-                slot = _slot(s)
-                p = np.argsort(rank[slot], kind="stable")[: prefix_length(size, t)]  # ties: by hash, as s is sorted
-                token, slot = s[p], slot[p]
-                many = cut[slot]
-                tile, half = np.zeros(len(p), dtype=np.int32), np.zeros(len(p), dtype=np.int8)
-                if (many > 1).any():
-                    at = np.repeat(np.arange(len(p)), many)
-                    other = np.concatenate([np.arange(m) for m in many]).astype(np.int64)
-                    token, m = token[at], many[at].astype(np.int64)
-                    mine = np.int64(own & 0x7FFFFFFF) % m
-                    tile = (np.minimum(mine, other) * m + np.maximum(mine, other)).astype(np.int32)
-                    half = np.where(m == 1, 0, np.where(mine == other, 0, np.where(mine < other, 1, 2))).astype(np.int8)
-                k = len(token)
-                for c, v in zip(cols, (token, tile, half, np.full(k, own), np.full(k, size, dtype=np.int32)), strict=True):
-                    c.append(v)
-                maps.append(np.broadcast_to(bitmap(s), (k, BITS // 64)))
-                spaces += [space] * k
-            if not spaces:
-                continue
-            m = np.concatenate(maps)
-            arrays = [pa.array(spaces, pa.string()), *(pa.array(np.concatenate(c)) for c in cols), *(pa.array(np.ascontiguousarray(m[:, j])) for j in range(BITS // 64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["space", "token", "tile", "half", "set", "size", *(f"m{j}" for j in range(BITS // 64))])
+        for b in _parts(batches):
+            sets, spaces = make(b.column(1).to_pylist()), b.column(0).to_pylist()
+            own = sets.hash()
+            new = np.zeros(len(own), dtype=bool)
+            for i in np.flatnonzero((sets.n_words >= least) & (sets.size > 0)).tolist():
+                key = (spaces[i], int(own[i]))
+                if key not in seen:
+                    seen.add(key)
+                    new[i] = True
+            rows = np.flatnonzero(new)
+            keep = new[sets.owner]
+            owner, h = sets.owner[keep], sets.hashes[keep]
+            slot = _slot(h)
+            first = np.lexsort((h, rank[slot], owner))  # ties in rank: by hash
+            owner, h, slot = owner[first], h[first], slot[first]
+            size = np.where(new, sets.size, 0)
+            within = np.arange(len(h)) - (np.cumsum(size) - size)[owner]
+            keep = within < prefix_length(sets.size, t)[owner]
+            owner, token, slot = owner[keep], h[keep], slot[keep]
+            many = cut[slot].astype(np.int64)
+            at = np.repeat(np.arange(len(token)), many)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            owner, token, many = owner[at], token[at], many[at]
+            mine = (own[owner] & 0x7FFFFFFF) % many
+            tile = (np.minimum(mine, other) * many + np.maximum(mine, other)).astype(np.int32)
+            half = np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.int8)
+            maps: list[bytes] = [b""] * len(own)
+            width = map_bits(sets.size)
+            for bits in WIDTHS:
+                which = rows[width[rows] == bits]
+                for i, m in zip(which.tolist(), sets.bitmaps(bits, which), strict=True):
+                    maps[i] = m.tobytes()
+            who = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(who), pa.array(token), pa.array(tile), pa.array(half), pa.array(own[owner]), pa.array(sets.size[owner].astype(np.int32)), pa.array(maps, pa.binary()).take(who)],
+                names=["space", "token", "tile", "half", "set", "size", "map"],
+            )
 
     return run
 
 
-POSTING = "space string, token long, tile int, half byte, set long, size int, " + ", ".join(f"m{j} long" for j in range(BITS // 64))
-
-
-def tile_pairs(token: np.ndarray, half: np.ndarray, own: np.ndarray, size: np.ndarray, maps: np.ndarray, t: float) -> np.ndarray:
+POSTING = "space string, token long, tile int, half byte, set long, size int, map binary"
+
+
+class Maps:
+    """Bitmaps of rows of several widths; narrower ones are had by folding."""
+
+    def __init__(self, maps: list[bytes]):
+        width = np.array([8 * len(m) for m in maps], dtype=np.int64)
+        self.place, self.words = {}, {}
+        for bits in WIDTHS:
+            has = np.flatnonzero(width >= bits)
+            place = np.full(len(maps), -1, dtype=np.int64)
+            place[has] = np.arange(len(has))
+            words = np.zeros((len(has), bits // 64), dtype=np.uint64)
+            for w in WIDTHS:
+                own = has[width[has] == w]
+                if w >= bits and len(own):
+                    full = np.frombuffer(b"".join([maps[i] for i in own.tolist()]), dtype=np.uint64).reshape(len(own), w // bits, bits // 64)
+                    words[place[own]] = np.bitwise_or.reduce(full, axis=1)
+            self.place[bits], self.words[bits] = place, words
+
+    def differ(self, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """True for pairs that differ in at most `least` bits at every width that both have."""
+        ok = np.ones(len(a), dtype=bool)
+        for bits in WIDTHS:
+            x, y = self.place[bits][a], self.place[bits][b]
+            test = np.flatnonzero(ok & (x >= 0) & (y >= 0))
+            if not len(test):
+                break
+            n = np.bitwise_count(self.words[bits][x[test]] ^ self.words[bits][y[test]]).sum(axis=1, dtype=np.int64)
+            ok[test[n > least[test]]] = False
+        return ok
+
+
+def tile_pairs(token: np.ndarray, half: np.ndarray, own: np.ndarray, size: np.ndarray, maps: Maps, t: float) -> np.ndarray:
     """Pairs of rows of the same tile whose sets sizes and bitmaps leave possible. Rows are sorted by token and size."""
     n, out = len(token), []
     alive = np.arange(n)
@@ -195,40 +268,41 @@ def tile_pairs(token: np.ndarray, half: np.ndarray, own: np.ndarray, size: np.nd
         alive = alive[(token[other] == token[alive]) & (size[alive] >= t * size[other] - 1e-9)]
         if not len(alive):
             break
-        other = alive + d
-        differ = np.bitwise_count(maps[alive] ^ maps[other]).sum(axis=1, dtype=np.int64)
-        both = size[alive] + size[other]
+        a = alive[(half[alive] == 0) | (half[alive] != half[alive + d])]
+        both = size[a] + size[a + d]
         # overlap <= (|a| + |b| - differing bits) / 2, and t needs an overlap of t / (1 + t) of both sizes
-        ok = ((both - differ) / 2 >= t / (1 + t) * both - 1e-9) & (own[alive] != own[other]) & ((half[alive] == 0) | (half[alive] != half[other]))
-        if ok.any():
-            out.append(np.stack([alive[ok], other[ok]], axis=1))
+        a = a[maps.differ(a, a + d, both - 2 * t / (1 + t) * both + 1e-6)]
+        if len(a):
+            out.append(np.stack([a, a + d], axis=1))
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
 
-def _tiles(t: float, words: int = BITS // 64, hold: int = 400_000):
-    """Candidates of a partition sorted by (space, token, tile, size): lists are held until complete, in runs of many."""
+def _tiles(t: float, hold: int = 300_000):
+    """Candidates of a partition sorted by token: lists are held until complete, many at a time."""
+
+    def emit(table: pa.Table) -> pa.RecordBatch:
+        col = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        names = pa.concat_arrays(table.column("space").chunks).dictionary_encode()
+        space = names.indices.to_numpy(zero_copy_only=False).astype(np.uint64)
+        list_id = _mix(col("token").view(np.uint64) + (col("tile").astype(np.uint64) << np.uint64(8)) + space)
+        own, size, half = col("set"), col("size").astype(np.int64), col("half")
+        order = np.lexsort((own, size, list_id))
+        list_id, own, size, half = list_id[order], own[order], size[order], half[order]
+        # the same set may be posted by several tasks; a list of one set joins nothing
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (list_id[1:] != list_id[:-1]) | (own[1:] != own[:-1])
+        same = np.zeros(len(own) + 1, dtype=bool)
+        same[1:-1] = list_id[1:] == list_id[:-1]
+        keep = np.flatnonzero(new & (same[:-1] | same[1:]))
+        order, own, half, size, list_id = order[keep], own[keep], half[keep], size[keep], list_id[keep]
+        maps = Maps(table.column("map").combine_chunks().take(pa.array(order)).to_pylist())
+        pairs = tile_pairs(list_id, half, own, size, maps, t)
+        x, y = own[pairs[:, 0]], own[pairs[:, 1]]
+        found = np.unique(np.stack([space[order[pairs[:, 0]]].astype(np.int64), np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(found[:, 0])), pa.array(found[:, 1]), pa.array(found[:, 2])], names=["space", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def emit(table: pa.Table) -> pa.RecordBatch:
-            col = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-            names = pa.concat_arrays(table.column("space").chunks).dictionary_encode()
-            space = names.indices.to_numpy(zero_copy_only=False).astype(np.uint64)
-            token = _mix(col("token").view(np.uint64) + (col("tile").astype(np.uint64) << np.uint64(8)) + space)
-            own, size, half = col("set"), col("size").astype(np.int64), col("half")
-            maps = np.stack([col(f"m{j}") for j in range(words)], axis=1).view(np.uint64)
-            # the same set may be posted by several tasks
-            order = np.lexsort((own, size, token))
-            token, own, size, half, maps, space = token[order], own[order], size[order], half[order], maps[order], space[order]
-            keep = np.ones(len(token), dtype=bool)
-            keep[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
-            own, space = own[keep], space[keep]
-            pairs = tile_pairs(token[keep], half[keep], own, size[keep], maps[keep], t)
-            x, y = own[pairs[:, 0]], own[pairs[:, 1]]
-            found = np.unique(np.stack([space[pairs[:, 0]].astype(np.int64), np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(found[:, 0])), pa.array(found[:, 1]), pa.array(found[:, 2])], names=["space", "a", "b"])
-
         rows = 0
         for b in batches:
             held.append(b)
@@ -241,7 +315,7 @@ def _tiles(t: float, words: int = BITS // 64, hold: int = 400_000):
                     yield emit(table.slice(0, last))
                     held = table.slice(last).combine_chunks().to_batches()
                     rows = table.num_rows - last
-        if held and rows:
+        if rows:
             yield emit(pa.Table.from_batches(held))
 
     return run
@@ -284,10 +358,11 @@ def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, t: float, w
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
-        for b in batches:
-            sets = [make(x)[1] for x in b.column(2).to_pylist()]
-            same = [len(s) > 0 and set_hash(s) == h for s, h in zip(sets, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(same)], names=["space", "set", "shingles", "same"])
+        for b in _parts(batches):
+            sets = make(b.column(2).to_pylist())
+            same = sets.hash() == b.column(1).to_numpy()
+            ends = sets.begin + sets.size
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sets.hashes[x:y].tobytes() for x, y in zip(sets.begin, ends, strict=True)], pa.binary()), pa.array(same)], names=["space", "set", "shingles", "same"])
 
     texts_of = rows.join(F.broadcast(reps) if few else reps, ["space", "id"]).select("space", "set", "text")
     sets = texts_of.mapInArrow(again, "space string, set long, shingles binary, same boolean").where("same").groupBy("space", "set").agg(F.first("shingles").alias("shingles"))
