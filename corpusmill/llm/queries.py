@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import near_duplicates, neighbours
+from corpusmill.llm import encoding, leakage, near_duplicates, neighbours, splitting
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +29,22 @@ def _near_duplicate_groups(s: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(*near_duplicates.near_duplicate_sets(_chunk_texts(s, d), 0.6)).selectExpr("space AS corpus", "id AS chunk_id", "group_id", "links")
 
 
+def _leaks(s: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(s, d, "documents"), table(s, d, "eval_queries"))
+
+
 QUERIES: dict[str, Query] = {
     "p3_similar": lambda s, d: _similar(s, d).selectExpr("id AS chunk_id", "neighbour", "similarity"),
     "p3_found": lambda s, d: neighbours.mutual(_similar(s, d), 0.95).selectExpr("id_a AS chunk_id_a", "id_b AS chunk_id_b"),
+    "p4_found": lambda s, d: splitting.cut_levels(splitting.split_oversized(table(s, d, "kb_chunks"))),
+    "p4_pieces": lambda s, d: splitting.split_oversized(table(s, d, "kb_chunks")),
     "p6_found": _near_duplicates,
     "p6_groups": _near_duplicate_groups,
+    "p7_found": lambda s, d: _leaks(s, d).select("doc_id", "query_id"),
+    "p7_leaks": lambda s, d: _leaks(s, d),
+    "p7_by_item": lambda s, d: _leaks(s, d).groupBy("query_id").agg(F.count("*").alias("n_documents"), F.max("words").alias("longest")),
+    "p9_found": lambda s, d: encoding.restore_encoding(table(s, d, "documents")).select("doc_id").distinct(),
+    "p9_restored": lambda s, d: encoding.restore_encoding(table(s, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {}
