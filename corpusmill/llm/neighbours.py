@@ -198,7 +198,7 @@ def most_similar(
     a vector's own equals precede all others with a similarity of 1. Ties go to the smaller id. Fewer than k others
     give fewer rows; one vector alone gives none; an empty table gives no rows.
 
-    region: rows of one region, about; sample: rows on which regions are fitted, the first by hash of the id;
+    region: rows of one region, about; sample: rows, about, on which regions are fitted, those of the lowest hashes of the id;
     coarse_trees: 5, and one more for each doubling of the number of regions beyond 8, if None; trees, leaf, least:
     strings made of each vector inside a region, the most vectors that share a longest prefix, candidates below which
     to ascend.
@@ -210,7 +210,9 @@ def most_similar(
     depth = max(0, math.ceil(math.log2(n / region))) if n else 0
     many = coarse_trees or (1 if depth == 0 else 5 + max(0, depth - 3))
     if depth:
-        fitted = reps.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).select("v").collect()
+        # `sample` rows are expected below this hash; an ordered limit would send as many from every task
+        most = int(2**64 * min(1.0, sample / n)) - 2**63
+        fitted = reps.where(F.xxhash64("id") <= F.lit(min(most, 2**63 - 1))).select("v").collect()
         model = spark.sparkContext.broadcast(Regions(_stack([r.v for r in fitted]), many, depth, seed))
     total = trees if depth else 3 * trees
 
