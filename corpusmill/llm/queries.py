@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, leakage, near_duplicates, neighbours, splitting
+from corpusmill.llm import encoding, leakage, near_duplicates, neighbours, pairs, splitting
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,8 @@ def _leaks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": lambda s, d: pairs.defective_pairs(table(s, d, "answers")),
+    "p1_by_defect": lambda s, d: pairs.defective_pairs(table(s, d, "answers")).groupBy("defect").agg(F.count("*").alias("n_answers")),
     "p3_similar": lambda s, d: _similar(s, d).selectExpr("id AS chunk_id", "neighbour", "similarity"),
     "p3_found": lambda s, d: neighbours.mutual(_similar(s, d), 0.95).selectExpr("id_a AS chunk_id_a", "id_b AS chunk_id_b"),
     "p4_found": lambda s, d: splitting.cut_levels(splitting.split_oversized(table(s, d, "kb_chunks"))),
