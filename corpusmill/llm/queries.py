@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, leakage, near_duplicates, neighbours, pairs, splitting
+from corpusmill.llm import encoding, leakage, mixing, near_duplicates, neighbours, packing, pairs, splitting
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,9 +33,15 @@ def _leaks(s: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(s, d, "documents"), table(s, d, "eval_queries"))
 
 
+def _mix(s: SparkSession, d: str, part: int) -> DataFrame:
+    return mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[part]
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: pairs.defective_pairs(table(s, d, "answers")),
     "p1_by_defect": lambda s, d: pairs.defective_pairs(table(s, d, "answers")).groupBy("defect").agg(F.count("*").alias("n_answers")),
+    "p2_blocks": lambda s, d: packing.pack(packing.body_blocks(table(s, d, "blocks")), 512).selectExpr("grp AS rule", "id AS block_id", "part", "length AS n_tokens", "container", "room"),
+    "p2_prompts": lambda s, d: packing.pack(packing.prompt_chunks(table(s, d, "chunks")), 4096).selectExpr("id AS chunk_id", "part", "length AS n_tokens", "container", "room"),
     "p3_similar": lambda s, d: _similar(s, d).selectExpr("id AS chunk_id", "neighbour", "similarity"),
     "p3_found": lambda s, d: neighbours.mutual(_similar(s, d), 0.95).selectExpr("id_a AS chunk_id_a", "id_b AS chunk_id_b"),
     "p4_found": lambda s, d: splitting.cut_levels(splitting.split_oversized(table(s, d, "kb_chunks"))),
@@ -45,6 +51,8 @@ QUERIES: dict[str, Query] = {
     "p7_found": lambda s, d: _leaks(s, d).select("doc_id", "query_id"),
     "p7_leaks": lambda s, d: _leaks(s, d),
     "p7_by_item": lambda s, d: _leaks(s, d).groupBy("query_id").agg(F.count("*").alias("n_documents"), F.max("words").alias("longest")),
+    "p8_selection": lambda s, d: _mix(s, d, 0),
+    "p8_shares": lambda s, d: _mix(s, d, 1),
     "p9_found": lambda s, d: encoding.restore_encoding(table(s, d, "documents")).select("doc_id").distinct(),
     "p9_restored": lambda s, d: encoding.restore_encoding(table(s, d, "documents")),
 }
