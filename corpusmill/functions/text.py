@@ -42,7 +42,7 @@ def clean(c: Column) -> Column:
     """Converted text without control characters, tags, table pipes, stray underscores and runs of blanks."""
     s = F.coalesce(c, F.lit(""))
     for pattern, to in (
-        (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"(?i)<br\s*/?>", "\n"), (r"</?[a-zA-Z][^>]*>", ""), (" ", " "), (r"\|+", " "), (r"_+", " "), (r"[ \t]+", " "),
+        (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"(?i)<br\s*/?>", "\n"), (r"</?[a-zA-Z][^>]*>", ""), (r"\u00A0", " "), (r"\|+", " "), (r"_+", " "), (r"[ \t]+", " "),
         (r"[ \t]+([.,;:)\]])", "$1"), (r"([•·▪‣])[ \t]*\n+[ \t]*", "$1 "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", ""),
     ):
         s = F.regexp_replace(s, pattern, to)

@@ -14,6 +14,9 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+COUNT = [0]
+
+
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else float(f"{v:.9g}")
@@ -35,6 +38,7 @@ def compare(spark, name: str, sf_dir: str) -> str:
 
     df = entry.queries()[name](spark, sf_dir)
     ours = rows_of(df.columns, df.collect())
+    COUNT[0] = ours[1].total()
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for p in Path(sf_dir).glob("*.parquet"):
@@ -60,7 +64,7 @@ if __name__ == "__main__":
         began = time.time()
         try:
             if n in entry.oracle_sql():
-                said = compare(spark, n, sf) or "equal"
+                said = compare(spark, n, sf) or f"equal, {COUNT[0]} rows"
             else:
                 df = entry.queries()[n](spark, sf)
                 said = f"{len(df.collect())} rows, no SQL"
