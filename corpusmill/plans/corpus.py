@@ -148,7 +148,7 @@ def provenance(s: SparkSession, d: str) -> DataFrame:
 
 
 def stale_hashes(s: SparkSession, d: str) -> DataFrame:
-    return A.stale_hashes(table(s, d, "chunks").where("chunk_id IS NOT NULL"), "chunk_id", "text", "sha256", 16)
+    return A.stale_hashes(table(s, d, "chunks").where("chunk_id IS NOT NULL"), "chunk_id", "embed_text", "sha256", 16)
 
 
 def audit_chain(s: SparkSession, d: str) -> DataFrame:
@@ -412,7 +412,7 @@ SELECT answer_id, count(*) AS n_citations, count(*) FILTER (WHERE e) AS n_exist,
     "provenance": """WITH c0 AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST, run_id DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL), c AS (SELECT chunk_id, run_id, unnest(block_ids) AS block_id FROM c0 WHERE rn = 1)
 SELECT r.run_id, r.source_id, count(*) AS n_links, count(DISTINCT a.answer_id) AS n_answers, count(DISTINCT b.block_id) AS n_blocks FROM (SELECT DISTINCT answer_id FROM answers WHERE answer_id IS NOT NULL) a JOIN (SELECT DISTINCT answer_id, chunk_id FROM answer_passages) p USING (answer_id)
  JOIN c USING (chunk_id) JOIN (SELECT DISTINCT block_id FROM blocks) b USING (block_id) JOIN parse_runs r ON r.run_id = c.run_id GROUP BY ALL""",
-    "stale_hashes": "SELECT DISTINCT chunk_id, sha256 AS stored, left(sha256(coalesce(text, '')), 16) AS fresh FROM chunks WHERE chunk_id IS NOT NULL AND sha256 IS DISTINCT FROM left(sha256(coalesce(text, '')), 16)",
+    "stale_hashes": "SELECT DISTINCT chunk_id, sha256 AS stored, left(sha256(coalesce(embed_text, '')), 16) AS fresh FROM chunks WHERE chunk_id IS NOT NULL AND sha256 IS DISTINCT FROM left(sha256(coalesce(embed_text, '')), 16)",
     "audit_chain": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id || '|' || event_type AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 c AS (SELECT user_id, event_id, n, sha256(body) AS hash FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, sha256(c.hash || e.body) FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1) SELECT user_id, event_id AS seq, hash FROM c""",
     "audit_chain_check": "SELECT user_id, CASE WHEN user_id % 7 = 0 THEN max(event_id) FILTER (WHERE n = 3) END AS first_bad FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) GROUP BY user_id",
