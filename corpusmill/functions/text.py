@@ -29,8 +29,7 @@ def strip(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Words in small letters, without words of one character and stop words; empty for null."""
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOPWORDS))])
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
 def estimated_tokens(c: Column) -> Column:
@@ -60,6 +59,11 @@ def nfkc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), value being worked out once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def chars_of(c: Column, kept: str) -> Column:
     """How many characters of c are in the class `kept`."""
     return F.length(F.regexp_replace(c, f"[^{kept}]", ""))
@@ -67,21 +71,27 @@ def chars_of(c: Column, kept: str) -> Column:
 
 def looks_garbled(c: Column) -> Column:
     """Whether a text layer looks broken: lost characters, no blanks, few letters, words far too long or too short."""
-    t = strip(F.coalesce(c, F.lit("")))
-    n = F.length(t)
-    blanks, letters = chars_of(t, " ") / n, chars_of(t, r"\p{L}") / n
-    words = F.filter(F.regexp_extract_all(t, F.lit(r"([^\s|]+)"), F.lit(1)), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    mean = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)) / F.size(words)
-    return (
-        F.when(n < 40, False)
-        .when(chars_of(t, "�") / n > 0.02, True)
-        .when((n > 200) & (blanks < 0.02), True)
-        .when((letters < 0.5) & (blanks < 0.06), True)
-        .when(letters < 0.2, True)
-        .when((F.size(words) > 0) & (mean > 18), True)
-        .when((F.size(words) >= 12) & (mean < 1.6), True)
-        .otherwise(False)
-    )
+
+    def judge(x: Column) -> Column:
+        n, words = x["n"], x["words"]
+        mean = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)) / F.size(words)
+        return (
+            F.when(n < 40, False)
+            .when(x["lost"] / n > 0.02, True)
+            .when((n > 200) & (x["blanks"] / n < 0.02), True)
+            .when((x["letters"] / n < 0.5) & (x["blanks"] / n < 0.06), True)
+            .when(x["letters"] / n < 0.2, True)
+            .when((F.size(words) > 0) & (mean > 18), True)
+            .when((F.size(words) >= 12) & (mean < 1.6), True)
+            .otherwise(False)
+        )
+
+    def measure(t: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(t, F.lit(r"([^\s|]+)"), F.lit(1)), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+        of = lambda kept: chars_of(t, kept)
+        return F.struct(F.length(t).alias("n"), of(" ").alias("blanks"), of(r"\p{L}").alias("letters"), of("\uFFFD").alias("lost"), words.alias("words"))
+
+    return _let(_let(strip(F.coalesce(c, F.lit(""))), measure), judge)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -94,9 +104,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def guess_language(c: Column, least: float = 0.12) -> Column:
     """'en' if stop words are at least that share of the words, else 'unknown'."""
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z]+)"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOPWORDS))])
-    share = F.size(F.filter(words, lambda w: F.array_contains(stop, w))) / F.size(words)
-    return F.when((F.size(words) > 0) & (share >= least), "en").otherwise("unknown")
+    return _let(words, lambda w: F.when((F.size(w) > 0) & (F.size(F.filter(w, lambda x: x.isin(STOPWORDS))) / F.size(w) >= least), "en").otherwise("unknown"))
 
 
 def summary(c: Column, limit: int = 320) -> Column:
