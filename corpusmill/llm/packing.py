@@ -175,6 +175,7 @@ def pack(items: DataFrame, capacity: int, salts: int = 32) -> DataFrame:
     1 and whole. Lengths that are null or below 1 count as 1; null ids are left out; a null grp is a group of its own;
     an empty table gives no rows. salts: parts in which the items of one length are counted.
     """
+    spark = items.sparkSession
     length = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(1)), F.lit(1))
     rows = items.where("id IS NOT NULL").select("grp", "id", length.alias("total"))
     n_parts = F.expr(f"CAST(ceil(total / {capacity}) AS INT)")
@@ -184,7 +185,9 @@ def pack(items: DataFrame, capacity: int, salts: int = 32) -> DataFrame:
 
     counts = parts.groupBy("grp", "length", "salt").agg(F.count("*").alias("n"))
     hist = counts.groupBy("grp", "length").agg(F.sum("n").alias("n"))
-    plan = hist.groupBy("grp").applyInPandas(_plan(capacity), PLAN)
+    # the rows are few and the work on them is not: as many tasks as other stages have, whatever their bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    plan = hist.repartition(tasks, "grp").groupBy("grp").applyInPandas(_plan(capacity), PLAN)
     plan = plan.groupBy("grp", "length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "end_rank", "each", "first_container", "used"))).alias("plan"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("grp", "length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("grp", "length", "salt", before.alias("before"))
