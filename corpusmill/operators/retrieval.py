@@ -204,3 +204,12 @@ def neighbours(rows: DataFrame, group: str, order: str, text: str, before: int,
     """Each row's text with those of the rows around it in its group, as `window_text`."""
     around = F.collect_list(text).over(W.partitionBy(group).orderBy(order).rowsBetween(-before, after))
     return rows.withColumn("window_text", F.array_join(around, sep))
+
+
+def fuse_variants(hits: DataFrame, pool: int, how: str = "max", decimals: int = 9) -> DataFrame:
+    """(query_id, id, score, variants, rank) of hits (query_id, variant, id, score) of several wordings of each query.
+
+    how: 'max' takes an id's best score, 'sum' adds them up.
+    """
+    score = {"max": F.max, "sum": F.sum}[how]("score")
+    return top(hits.groupBy("query_id", "id").agg(F.round(score, decimals).alias("score"), F.countDistinct("variant").alias("variants")), pool)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import citations as C
 from corpusmill.functions import stem as S
 from corpusmill.functions import text as T
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import structure as Q
-from corpusmill.plans.retrieval import POOL, asked, kb
+from corpusmill.plans.retrieval import _KB, POOL, _bm25_sql, _toks, asked, kb
 from corpusmill.sources.tables import table
 
 
@@ -60,6 +61,28 @@ def id_remap(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.coalesce("new_id", "chunk_id").alias("id")).agg(F.count("*").alias("n"))
 
 
+def rechunked(s: SparkSession, d: str) -> DataFrame:
+    return Q.rechunk(table(s, d, "documents"))
+
+
+def canonical_questions(s: SparkSession, d: str) -> DataFrame:
+    """Questions whose citation is written in another form than the corpus's."""
+    rules = [r.rule for r in table(s, d, "blocks").where("kind = 'rule' AND rule RLIKE '[A-Za-z]$'").select("rule").distinct().collect()]  # numbers of rules that end in a letter
+    c = C.canonical_udf(rules)(F.col("question"))
+    return table(s, d, "answers").where("question IS NOT NULL").select("answer_id", "question", c.alias("canonical")).where("question <> canonical").distinct()
+
+
+def variant_search(s: SparkSession, d: str) -> DataFrame:
+    """Each query in two wordings, as it is and by its gold text's first words, fused by the best score."""
+    q = table(s, d, "eval_queries")
+    words = F.array_join(F.slice(F.split("gold_text", " "), 1, 12), " ")
+    both = q.select("query_id", F.lit("asked").alias("variant"), "query_text").unionByName(q.select("query_id", F.lit("gold").alias("variant"), words.alias("query_text")))
+    keyed = both.withColumn("query_id", F.concat_ws("|", "query_id", "variant"))
+    hits = R.bm25(R.query_terms(keyed), kb(s, d), POOL)
+    parts = F.split("query_id", r"\|")
+    return R.fuse_variants(hits.select(parts[0].alias("query_id"), parts[1].alias("variant"), "id", "score"), 10).select("query_id", F.col("id").alias("chunk_id"), "score", "variants", "rank")
+
+
 def pricing_summary(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "lineitem")
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -76,9 +99,13 @@ def order_lineage(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("customer_region", "supplier_region").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"), F.countDistinct("o_orderkey").alias("orders"))
 
 
-QUERIES = {f.__name__: f for f in (block_paths, rule_chunks, markdown_chunks, running_headers, stems, distinct_hits, compatible_text, id_remap, pricing_summary, order_lineage)}
+QUERIES = {f.__name__: f for f in (block_paths, rule_chunks, markdown_chunks, running_headers, stems, distinct_hits, compatible_text, id_remap, rechunked, canonical_questions, variant_search, pricing_summary, order_lineage)}
 
 ORACLE = {
+    "variant_search": f"""WITH {_KB}, qv AS (SELECT query_id, 'asked' AS v, query_text AS t FROM eval_queries UNION ALL SELECT query_id, 'gold', array_to_string(string_split(gold_text, ' ')[1:12], ' ') FROM eval_queries),
+qx AS (SELECT query_id || '|' || v AS query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, v, unnest({_toks("t")}) AS term FROM qv) GROUP BY ALL), {_bm25_sql("b", "qx", "kb")},
+m AS (SELECT string_split(query_id, '|')[1] AS query_id, id, round(max(score), 9) AS score, count(DISTINCT string_split(query_id, '|')[2]) AS variants FROM b GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, id AS chunk_id, score, variants, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m) WHERE rank <= 10""",
     "running_headers": r"""WITH p AS (SELECT DISTINCT doc_id, ordinal, text FROM kb_chunks WHERE doc_id IS NOT NULL AND text IS NOT NULL), z AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY 1 HAVING count(*) >= 3),
 l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: regexp_replace(x, '^[\s\x{0B}]+|[\s\x{0B}]+$', '', 'g')), lambda x: x <> '') AS l FROM p),
 e AS (SELECT doc_id, 'first' AS place, l[1] AS line FROM l WHERE len(l) > 0 UNION ALL SELECT doc_id, 'last', l[-1] FROM l WHERE len(l) > 0)

@@ -98,6 +98,22 @@ def test_citation_functions(spark):
         assert one(spark, C.relation(F.lit(before))[0]) == name
 
 
+def test_canonical_citations():
+    rules = frozenset({"5.743b"})
+    cases = {"2.116(C)(10)": "MCR 2.116(C)(10)", "what is Rule 2.116?": "what is MCR 2.116?", "mcr 2.116c10": "MCR 2.116(C)(10)", "see mcr 5.743b": "see MCR 5.743b", "(2.116) no": "( MCR 2.116) no", "nothing": "nothing", "MCR 2.116 (C) (10) now": "MCR 2.116(C)(10) now"}
+    assert {q: C.canonical(q, rules) for q in cases} == cases and C.canonical(None, rules) is None
+
+
+def test_lines_and_rechunk(spark):
+    spans = [("d", 1, 10.0, 50.0, "b"), ("d", 1, 12.9, 10.0, "a"), ("d", 1, 15.5, 10.0, "next"), ("d", 1, 740.0, 1.0, "foot"), ("d", 2, 1.0, 1.0, " "), ("d", 2, 1.0, None, "x"), ("d", 2, 5.0, 1.0, "z")]
+    df = spark.createDataFrame(spans, "doc_id string, page int, y double, x double, text string")
+    assert [(r.page, r.text) for r in Q.lines_from_spans(df).orderBy("page", "line").collect()] == [(1, "a b"), (1, "next"), (2, "z")]
+    text = "(a) First part. (b) " + "Second part holds; " * 20 + "(1) third." + "x" * 90
+    assert all(len(a) <= 100 or " " not in a for a in Q.atoms(text, 80)) and "".join(Q.atoms(text, 80)).replace(" ", "") == text.replace(" ", "")
+    docs = spark.createDataFrame([("d", text), ("e", None), ("f", "")], "doc_id string, text string")
+    assert {r.doc_id for r in Q.rechunk(docs, 80).collect()} == {"d"}
+
+
 # retrieval -------------------------------------------------------------------------------------------------------
 
 
