@@ -122,7 +122,7 @@ class Regions:
             for _ in range(depth):
                 below = []
                 for rows in groups:
-                    cut = _halving(sample[rows], rng, 2048) if len(rows) > 3 else None
+                    cut = _halving(sample[rows], rng, 512) if len(rows) > 3 else None
                     if cut is None:  # too few rows here: a hyperplane through the origin
                         cut = rng.standard_normal(sample.shape[1]).astype(np.float32), 0.0
                     nodes.append(cut)
@@ -199,7 +199,7 @@ def most_similar(
     give fewer rows; one vector alone gives none; an empty table gives no rows.
 
     region: rows of one region, about; sample: rows, about, on which regions are fitted, those of the lowest hashes of the id;
-    coarse_trees: 5, and one more for each doubling of the number of regions beyond 8, if None; trees, leaf, least:
+    coarse_trees: 6, and five more for each three doublings of the number of regions beyond 8, if None; trees, leaf, least:
     strings made of each vector inside a region, the most vectors that share a longest prefix, candidates below which
     to ascend.
     """
@@ -208,7 +208,7 @@ def most_similar(
     reps = materialise(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "distinct-vectors")
     n, copied = reps.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
     depth = max(0, math.ceil(math.log2(n / region))) if n else 0
-    many = coarse_trees or (1 if depth == 0 else 5 + max(0, depth - 3))
+    many = coarse_trees or (1 if depth == 0 else 6 + max(0, -(-5 * (depth - 3) // 3)))
     if depth:
         # `sample` rows are expected below this hash; an ordered limit would send as many from every task
         most = int(2**64 * min(1.0, sample / n)) - 2**63
