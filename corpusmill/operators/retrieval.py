@@ -50,19 +50,19 @@ def bm25(terms: DataFrame, docs: DataFrame, pool: int, k1: float = 1.5, b: float
     sized = analysed.select("scope", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     stats = analysed.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     asked = terms.select("term").distinct()
-    postings = sized.join(F.broadcast(asked), "term").groupBy("scope", "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    postings = sized.join(asked, "term").groupBy("scope", "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    weights = df.join(F.broadcast(stats), "scope").select("scope", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = df.join(stats, "scope").select("scope", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(F.broadcast(weights), ["scope", "term"]).select("scope", "id", "term", part.alias("part"))
-    pairs = scored.join(F.broadcast(terms), "term").groupBy("query_id", "scope", "id").agg(F.round(F.sum(F.col("part") * F.col("weight")), decimals).alias("score"))
+    scored = postings.join(weights, ["scope", "term"]).select("scope", "id", "term", part.alias("part"))
+    pairs = scored.join(terms, "term").groupBy("query_id", "scope", "id").agg(F.round(F.sum(F.col("part") * F.col("weight")), decimals).alias("score"))
     return top(pairs.where("score > 0"), pool, "scope")
 
 
 def with_synonyms(terms: DataFrame, lexicon: DataFrame, weight: float = 0.5) -> DataFrame:
     """Query terms and, at that weight, the new forms of the groups they are in. lexicon: (group_id, form)."""
-    forms = terms.join(F.broadcast(lexicon.select("group_id", F.col("form").alias("term"))), "term").select("query_id", "group_id").distinct()
-    more = forms.join(F.broadcast(lexicon), "group_id").select("query_id", F.col("form").alias("term")).distinct()
+    forms = terms.join(lexicon.select("group_id", F.col("form").alias("term")), "term").select("query_id", "group_id").distinct()
+    more = forms.join(lexicon, "group_id").select("query_id", F.col("form").alias("term")).distinct()
     return terms.unionByName(more.join(terms, ["query_id", "term"], "left_anti").withColumn("weight", F.lit(weight)))
 
 

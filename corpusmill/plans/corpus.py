@@ -9,7 +9,6 @@ from pyspark.sql.window import Window as W
 from corpusmill.functions import citations as C
 from corpusmill.functions import text as T
 from corpusmill.operators import audit as A
-from corpusmill.operators import evaluation as E
 from corpusmill.operators import graph as G
 from corpusmill.operators import references
 from corpusmill.operators import retrieval as R
@@ -144,7 +143,7 @@ def provenance(s: SparkSession, d: str) -> DataFrame:
     passages = t("answer_passages").where("chunk_id IS NOT NULL").select("answer_id", "chunk_id").distinct()
     answers = t("answers").where("answer_id IS NOT NULL").select("answer_id").distinct()
     rows = passages.join(answers, "answer_id").join(chunks, "chunk_id").join(blocks, "block_id").join(F.broadcast(t("parse_runs").select("run_id", "source_id")), "run_id")
-    return rows.groupBy("run_id", "source_id").agg(F.count("*").alias("n_links"), F.approx_count_distinct("answer_id", 0.01).alias("_a"), F.countDistinct("answer_id").alias("n_answers"), F.countDistinct("block_id").alias("n_blocks")).drop("_a")
+    return rows.groupBy("run_id", "source_id").agg(F.count("*").alias("n_links"), F.countDistinct("answer_id").alias("n_answers"), F.countDistinct("block_id").alias("n_blocks"))
 
 
 def stale_hashes(s: SparkSession, d: str) -> DataFrame:
@@ -248,10 +247,12 @@ def representatives(s: SparkSession, d: str) -> DataFrame:
 def size_bands(s: SparkSession, d: str) -> DataFrame:
     """Rules by the quartile of their characters, the bounds being elements int(f x n) of the sorted sizes."""
     sizes = table(s, d, "blocks").where("rule IS NOT NULL").groupBy("rule").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
-    cuts = [E.nth_of_sorted("chars", f, [], sizes).select(F.col("chars").alias(f"q{i}")) for i, f in enumerate((0.25, 0.5, 0.75))]
-    q = cuts[0].crossJoin(cuts[1]).crossJoin(cuts[2])  # one row each
-    band = F.when(F.col("chars") < F.col("q0"), "xs").when(F.col("chars") < F.col("q1"), "s").when(F.col("chars") < F.col("q2"), "m").otherwise("l")
-    return sizes.join(F.broadcast(q)).groupBy(band.alias("band")).agg(F.count("*").alias("rules"), F.sum("chars").alias("chars"))
+    # distinct sizes are few; the bounds come from their running counts
+    upto = sizes.groupBy("chars").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(W.orderBy("chars"))).withColumn("all", F.sum("c").over(W.partitionBy()))
+    at = lambda f: F.min(F.when(F.col("upto") > F.floor(F.col("all") * f), F.col("chars")))
+    q0, q1, q2 = upto.agg(at(0.25), at(0.5), at(0.75)).first()
+    band = F.when(F.col("chars") < F.lit(q0), "xs").when(F.col("chars") < F.lit(q1), "s").when(F.col("chars") < F.lit(q2), "m").otherwise("l")
+    return sizes.groupBy(band.alias("band")).agg(F.count("*").alias("rules"), F.sum("chars").alias("chars"))
 
 
 def sessions(s: SparkSession, d: str) -> DataFrame:

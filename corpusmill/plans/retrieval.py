@@ -105,7 +105,7 @@ def collection_fusion(s: SparkSession, d: str) -> DataFrame:
 
 def rerank_blend(s: SparkSession, d: str) -> DataFrame:
     """Word overlap with the query stands in for a reranker's score."""
-    hits = _bm25(s, d).join(kb(s, d).select("id", "text"), "id").join(F.broadcast(asked(s, d).select("query_id", "query_text")), "query_id")
+    hits = _bm25(s, d).join(kb(s, d).select("id", "text"), "id").join(asked(s, d).select("query_id", "query_text"), "query_id")
     given = hits.withColumn("given", F.round(T.jaccard(F.col("text"), F.col("query_text")), 6))
     return R.rerank_blend(given, "given").where(F.col("rank") <= K).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
 
@@ -121,7 +121,7 @@ def dense_topk(s: SparkSession, d: str, dims: int | None = None) -> DataFrame:
 
 def _gold(s: SparkSession, d: str) -> DataFrame:
     q = vector_queries(s, d).select("query_id", "label")
-    return vectors(s, d).select("id", "label").join(F.broadcast(q), "label").where("id <> query_id").select("query_id", "id")
+    return vectors(s, d).select("id", "label").join(q, "label").where("id <> query_id").select("query_id", "id")
 
 
 def _ranks(s: SparkSession, d: str, dims: int | None = None) -> DataFrame:
@@ -165,7 +165,7 @@ def neighbour_window(s: SparkSession, d: str) -> DataFrame:
 
 def snippets(s: SparkSession, d: str) -> DataFrame:
     terms = asked(s, d).select("query_id", F.array_distinct(T.tokens(F.col("query_text"))).alias("terms"))
-    hits = _bm25(s, d).where(F.col("rank") <= 3).join(kb(s, d).select("id", "text"), "id").join(F.broadcast(terms), "query_id")
+    hits = _bm25(s, d).where(F.col("rank") <= 3).join(kb(s, d).select("id", "text"), "id").join(terms, "query_id")
     return hits.select("query_id", F.col("id").alias("chunk_id"), T.first_term_snippet(F.col("text"), F.col("terms")).alias("snippet"))
 
 
