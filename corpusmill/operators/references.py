@@ -10,7 +10,7 @@ not rows; rows are touched again only for the codes that survive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +46,7 @@ class Reference:
     name: str
     rows: DataFrame
     parents: DataFrame
-    key: callable = staticmethod(lambda c: c)
+    key: Callable[[Column], Column] = staticmethod(lambda c: c)
 
 
 def citation_key(c: Column) -> Column:
