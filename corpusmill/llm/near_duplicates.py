@@ -9,11 +9,12 @@ tile a hashed bitmap of each set bounds the overlap from above by a count of bit
 exact intersection of sorted arrays.
 
 Equal sets are one class: they are posted once for each task that reads them, and joined once. No pair of different
-sets is lost at any size, and no class is multiplied out.
+sets is lost at any size. Classes are multiplied out only where pairs of ids are asked for, block by block.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -147,23 +148,25 @@ def texts(df: DataFrame, key: str, text: str, space: str) -> DataFrame:
 
 
 def _pass_one(words: int, least: int):
-    """Rows (space, id, set, size) of each record, and rows (size: chunk, counts) of the counters of shingles by slot."""
-    names = ["space", "id", "set", "size", "counts"]
+    """Rows (space, id, set, size, text_hash) of each record, and rows (size: chunk, counts) of the counters of shingles by slot."""
+    names = ["space", "id", "set", "size", "text_hash", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, total = Shingler(words), np.zeros(SLOTS, dtype=np.int64)
         for b in _parts(batches):
-            sets = make(b.column(2).to_pylist())
+            said = b.column(2).to_pylist()
+            sets = make(said)
             ok = np.flatnonzero((sets.n_words >= least) & (sets.size > 0))
             counted = np.zeros(len(sets.size), dtype=bool)
             counted[ok] = True
             total += np.bincount(_slot(sets.hashes[counted[sets.owner]]), minlength=SLOTS)
             take = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(sets.hash()[ok]), pa.array(sets.size[ok].astype(np.int32)), pa.nulls(len(ok), pa.binary())], names=names)
+            own = [int.from_bytes(hashlib.blake2b(said[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for i in ok.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(sets.hash()[ok]), pa.array(sets.size[ok].astype(np.int32)), pa.array(own, pa.int64()), pa.nulls(len(ok), pa.binary())], names=names)
         if total.any():
             n = SLOTS // CHUNK
             blobs = [zlib.compress(c.tobytes(), 1) for c in total.reshape(n, CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -325,15 +328,15 @@ def near_duplicate_sets(rows: DataFrame, t: float, words: int = 3, least_words:
     """Similar classes of equal sets, and the members of all classes.
 
     rows: (space, id, text); records are compared within a space. Gives pairs (space, a, b, similarity) of classes whose
-    sets of runs of `words` words have a Jaccard similarity of at least t, and members (space, id, set, size). Texts of
+    sets of runs of `words` words have a Jaccard similarity of at least t, and members (space, id, set, size, text_hash). Texts of
     fewer than least_words words are in neither; null texts and ids neither; an id with several texts is in several
     classes; repeated rows come out once. Both are empty for an empty table. Whole texts are read, however long.
 
     block: about how many records of one posting list go into one side of a tile.
     """
     spark = rows.sparkSession
-    first = materialise(rows.mapInArrow(_pass_one(words, least_words), "space string, id string, set long, size int, counts binary"), "shingle-sets")
-    members = first.where("counts IS NULL").select("space", "id", "set", "size").distinct()
+    first = materialise(rows.mapInArrow(_pass_one(words, least_words), "space string, id string, set long, size int, text_hash long, counts binary"), "shingle-sets")
+    members = first.where("counts IS NULL").select("space", "id", "set", "size", "text_hash").distinct()
     freq = np.zeros(SLOTS, dtype=np.int64)
     for r in first.where("counts IS NOT NULL").select("size", "counts").groupBy("size").applyInPandas(_sum_counts, "size int, counts binary").collect():  # SLOTS counters
         freq[r["size"] * CHUNK : (r["size"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -381,24 +384,50 @@ def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, t: float, w
     return both.select("space", "a", "b", "x", "y").mapInArrow(check, "space string, a long, b long, similarity double").where(F.col("similarity") >= t - 1e-12)
 
 
-def id_pairs(pairs: DataFrame, members: DataFrame, expand: int = 64) -> DataFrame:
-    """(space, id_a, id_b) of ids in the same class or in similar ones, as strings the smaller first.
+def id_pairs(pairs: DataFrame, members: DataFrame, expand: int | None = 64, block: int = 512) -> DataFrame:
+    """(id_a, id_b) of different ids in the same class or in similar ones, as strings the smaller first, each pair once.
+
+    With expand=None every pair comes out. Else of more than `expand` ids of one class whose texts are equal byte for
+    byte the smallest stands for all in pairs with other texts and is paired with each of the others, which links the
+    same ids; different texts are paired in full all the same, whatever the size of their classes.
 
-    A class of up to `expand` ids comes out pair by pair. A larger one is not multiplied out: its smallest id stands
-    for it in pairs with other classes and is paired with each of the others, which links the same ids.
+    Each class is cut by a hash into blocks of about `block` ids, and each pair of blocks is a row of its own, spread
+    over all tasks. Ids with one text are apart from those with several: only pairs with one of the latter can come up
+    twice, and only those are shuffled to be made distinct.
     """
-    sized = members.select("space", "set", "id").distinct().withColumn("n", F.count("*").over(W.partitionBy("space", "set")))
-    first = members.groupBy("space", "set").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("n"))
-    small = members.select("space", "set", "id").distinct().join(first.where((F.col("n") <= expand) & (F.col("n") > 1)).select("space", "set"), ["space", "set"], "left_semi")
-    ends = pairs.select("space", F.inline(F.array(F.struct(F.col("a").alias("set")), F.struct(F.col("b").alias("set"))))).distinct()
-    # of a class that is in a pair: all ids, or the representative alone
-    stand = members.select("space", "set", "id").distinct().join(ends, ["space", "set"], "left_semi").join(first.where(F.col("n") <= expand).select("space", "set"), ["space", "set"], "left_semi")
-    stand = stand.unionByName(first.where(F.col("n") > expand).select("space", "set", F.col("rep").alias("id")))
-    across = pairs.join(stand.select("space", F.col("set").alias("a"), F.col("id").alias("x")), ["space", "a"]).join(stand.select("space", F.col("set").alias("b"), F.col("id").alias("y")), ["space", "b"])
-    within = small.select("space", "set", F.col("id").alias("x")).join(small.select("space", "set", F.col("id").alias("y")), ["space", "set"]).where("x < y")
-    star = members.select("space", "set", F.col("id").alias("y")).distinct().join(first.where(F.col("n") > expand).select("space", "set", F.col("rep").alias("x")), ["space", "set"]).where("x < y")
-    every = across.select("space", "x", "y").unionByName(within.select("space", "x", "y")).unionByName(star.select("space", "x", "y")).where("x <> y")
-    return every.select("space", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    spark = members.sparkSession
+    pairs = materialise(pairs.select("space", "a", "b"), "similar-classes")
+    ids = members.select("space", "set", "text_hash", "id").distinct().withColumn("many", F.count("*").over(W.partitionBy("id")) > 1)
+    star = None
+    if expand is not None:
+        equal = W.partitionBy("space", "set", "text_hash")
+        ids = materialise(ids.withColumn("rep", F.when(F.count("*").over(equal) > expand, F.min("id").over(equal))), "pair-ids")
+        star = ids.where("rep < id").selectExpr("rep AS id_a", "id AS id_b")
+        ids = ids.where("rep IS NULL OR rep = id")
+    ids = ids.select("space", "set", "id", "many").distinct()
+    ends = pairs.select("space", F.inline(F.array(F.struct(F.col("a").alias("set")), F.struct(F.col("b").alias("set"))))).distinct().withColumn("linked", F.lit(True))
+    parts = lambda c: F.ceil(F.count_if(c) / block).cast("int")
+    classes = ids.groupBy("space", "set").agg(F.count("*").alias("n"), parts(~F.col("many")).alias("p"), parts(F.col("many")).alias("m"))
+    classes = materialise(classes.join(ends, ["space", "set"], "left").where("n > 1 OR linked").select("space", "set", "n", "p", "m"), "pair-classes")
+    place = F.expr("CAST(IF(many, p + pmod(xxhash64(id), greatest(m, 1)), pmod(xxhash64(id), greatest(p, 1))) AS INT)")
+    blocks = ids.join(classes, ["space", "set"]).withColumn("k", place).groupBy("space", "set", "k").agg(F.collect_list("id").alias("ids"), F.first("many").alias("many"))
+    blocks = materialise(blocks, "pair-blocks")
+
+    size = lambda c, n: classes.select("space", F.col("set").alias(c), F.expr("p + m").alias(n))
+    both = classes.where("n > 1").selectExpr("space", "set AS a", "set AS b", "p + m AS na", "p + m AS nb")
+    both = both.unionByName(pairs.join(size("a", "na"), ["space", "a"]).join(size("b", "nb"), ["space", "b"]))
+    both = both.withColumn("i", F.explode(F.expr("sequence(0, na - 1)"))).withColumn("j", F.explode(F.expr("sequence(IF(a = b, i, 0), nb - 1)")))
+    side = lambda c, k, x: blocks.select("space", F.col("set").alias(c), F.col("k").alias(k), F.col("ids").alias(x), F.col("many").alias(f"many_{x}"))
+    both = both.join(side("a", "i", "xs"), ["space", "a", "i"]).join(side("b", "j", "ys"), ["space", "b", "j"])
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "space", "a", "i", "b", "j")
+    both = materialise(both.selectExpr("xs", "ys", "a = b AND i = j AS same", "many_xs OR many_ys AS many"), "block-pairs")
+
+    def every(some: DataFrame) -> DataFrame:
+        out = some.select("same", "ys", F.explode("xs").alias("x")).select("same", "x", F.explode("ys").alias("y")).where("IF(same, x < y, x <> y)")
+        return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+    twice = every(both.where("many"))
+    return every(both.where("NOT many")).unionByName((twice.unionByName(star) if star is not None else twice).distinct())
 
 
 def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:

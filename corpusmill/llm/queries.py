@@ -22,7 +22,7 @@ def _chunk_texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _near_duplicates(s: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.id_pairs(*near_duplicates.near_duplicate_sets(_chunk_texts(s, d), 0.6)).selectExpr("id_a AS chunk_id_a", "id_b AS chunk_id_b").distinct()
+    return near_duplicates.id_pairs(*near_duplicates.near_duplicate_sets(_chunk_texts(s, d), 0.6), expand=None).selectExpr("id_a AS chunk_id_a", "id_b AS chunk_id_b")
 
 
 def _near_duplicate_groups(s: SparkSession, d: str) -> DataFrame:

@@ -263,6 +263,22 @@ def test_near_duplicate_copies_and_groups(spark):
     assert sets.count() == 0 and near_duplicates.id_pairs(sets, members).count() == 0 and near_duplicates.groups(sets, members).count() == 0
 
 
+def test_near_duplicate_large_classes(spark):
+    rng = random.Random(9)
+    standing, other = words(rng, 40), words(rng, 40)
+    near = standing.rsplit(" ", 3)[0] + " but not so"
+    # one class of 90 variants, a similar one of 70, one apart of byte-equal texts, and ids that are in two classes
+    rows = [(f"v{i:02}", standing.upper() + "!" * i) for i in range(90)] + [(f"n{i:02}", near + "." * i) for i in range(70)] + [(f"e{i:02}", other) for i in range(80)]
+    rows += [(f"v{i:02}", near) for i in range(5)] + [(f"e{i:02}", standing) for i in range(3)] + rows[:4]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    got = near_duplicates.near_duplicate_sets(near_duplicates.texts(df, "chunk_id", "text", "s").unionByName(near_duplicates.texts(df, "chunk_id", "text", "t")), 0.6)
+    pairs = [(r.id_a, r.id_b) for r in near_duplicates.id_pairs(*got, expand=None, block=7).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows)
+    # else only the byte-equal texts are a star around e00; e01 and e02 are a pair by their other text
+    pairs = [(r.id_a, r.id_b) for r in near_duplicates.id_pairs(*got, block=7).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {x for x in brute(rows) if not "e00" < x[0] < x[1] < "f"} | {("e01", "e02")}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101)]
     edges = spark.createDataFrame([("s", f"{a:03d}", f"{b:03d}") for a, b in chain] + [("s", f"{b:03d}", f"{a:03d}") for a, b in chain], "space string, u string, v string")
