@@ -61,6 +61,16 @@ def test_pairs_empty_and_long(spark):
     assert judged(spark, [("long", "Who files the order?", long, T0), ("cut", "Who files the order?", long + "The clerk", T0)]) == {"cut": "truncated"}
 
 
+def test_pairs_copies_of_many_repeats():
+    q = "How many days does the guardian have to appeal the order?"
+    changed = q.replace("guardian", "custodian")
+    assert all(pairs.is_copy(q, " ".join([q] * n)) for n in (1, 4, 5, 6, 50, 5000))
+    assert pairs.is_copy(q, "\n".join(f"Question: {x}" for x in [q, changed] * 6)) and pairs.is_copy("为什么？", "为什么？" * 9)
+    assert pairs.is_copy(q, "Answer: " + " ".join([q, q[:-7]] * 8))
+    assert not pairs.is_copy(q, q + " The guardian must file the appeal with the clerk of the court within ten days." * 5)
+    assert not pairs.is_copy(q, " ".join(sorted(q.split() * 9)))
+
+
 def test_language_model_held_out():
     m = pairs.fit_language([])
     for lang, text in (("pt", "A criança poderá assinar a certidão depois da sessão."), ("pl", "Świadek odrzuca załącznik przed rozprawą."), ("vi", "Nhân viên gửi bản dịch tại phiên họp."), ("ru", "Секретарь хранит перевод дела."), ("zh", "法院通常批准申请书。"), ("de", "Der Vormund verkündet die Verfügung nach Prüfung.")):
