@@ -71,6 +71,13 @@ def test_pairs_copies_of_many_repeats():
     assert not pairs.is_copy(q, " ".join(sorted(q.split() * 9)))
 
 
+def test_language_of_a_long_run():
+    model = pairs.Language(pairs.seed_words())
+    head, rest = "法院应当在开庭后十日内就申请作出决定提交答复的一方应当把副本送达另一方如果书记员没有记录命令", "судопроизводствозаявлениеходатайство" * 9
+    assert len(head) > 40 and pairs.LANGUAGES[int(model.posterior(head).argmax())] == "zh"
+    assert pairs.LANGUAGES[int(model.posterior(head + rest).argmax())] == "ru"
+
+
 def test_language_model_held_out():
     m = pairs.fit_language([])
     for lang, text in (("pt", "A criança poderá assinar a certidão depois da sessão."), ("pl", "Świadek odrzuca załącznik przed rozprawą."), ("vi", "Nhân viên gửi bản dịch tại phiên họp."), ("ru", "Секретарь хранит перевод дела."), ("zh", "法院通常批准申请书。"), ("de", "Der Vormund verkündet die Verfügung nach Prüfung.")):
