@@ -28,6 +28,7 @@ CJK_SENTENCE_END = re.compile(r"(?<=[。！？；])(?=[^。！？；\s])")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]{3,}")
 UNITS = ("paragraph", "line", "sentence", "word")
+WORD = UNITS.index("word")
 
 
 def _spans(text: str, separator: re.Pattern, within: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,8 +103,8 @@ def split(text: str, limit: int, overlap: int, least: float = 0.4) -> tuple[str,
     """The cut level of a text and its pieces (start, end, boundary at the end), new text only, without the overlap.
 
     The first piece holds up to `limit` characters, the others up to limit - overlap. A piece ends at the deepest
-    valley between `least` of its room and all of it, paragraph ends before line ends before sentence ends before
-    word ends where there are any in that window; a unit longer than the room is cut at the next finer boundary, and
+    valley between `least` of its room and all of it, paragraph ends before line ends before sentence ends where there
+    are any in that window, else at the last such end before it, else at a word end; a unit longer than the room is cut at the next finer boundary, and
     a word longer than that is cut anywhere. White space between pieces stays with the piece before it. The pieces
     joined are the text.
     """
@@ -127,7 +128,10 @@ def split(text: str, limit: int, overlap: int, least: float = 0.4) -> tuple[str,
     cut_from = lambda x: bisect.bisect_left(cuts, x)
     while n - at > (room := limit if not pieces else limit - overlap):
         lo, hi = at + max(1, int(room * least)), at + room
-        window = cuts[cut_from(lo) : cut_from(hi + 1)] or cuts[cut_from(at + 1) : cut_from(hi + 1)]
+        window = cuts[cut_from(lo) : cut_from(hi + 1)]
+        if all(marks[c][0] == WORD for c in window):  # before a unit is cut, the last of the coarsest ends ahead of the window
+            early = [c for c in cuts[cut_from(at + 1) : cut_from(lo)] if marks[c][0] < WORD]
+            window = [min(early, key=lambda c: (marks[c][0], -c))] if early else window or cuts[cut_from(at + 1) : cut_from(hi + 1)]
         if window:
             end = min(window, key=lambda c: (marks[c][0], -marks[c][1], -c))
             pieces.append((at, end, UNITS[marks[end][0]]))

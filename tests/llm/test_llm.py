@@ -211,6 +211,17 @@ def test_split_takes_the_deepest_valley():
     assert abs(parts[0][1] - len(one)) <= 2
 
 
+def test_split_keeps_a_long_unit_whole():
+    first, second = "The clerk files the order. " * 15, "word " * 260
+    text = first.strip() + "\n\n" + second.strip() + "\n\n" + first.strip()
+    _, parts = splitting.split(text, 1500, 150)
+    assert parts[0] == (0, len(first.strip()) + 2, "paragraph") and text[slice(*parts[1][:2])].strip() == second.strip()
+    # of several ends before the window the last; a sentence end if there is no other
+    _, parts = splitting.split("One.\n\nTwo.\n\nThree. Four.\n\n" + second + second, 1500, 150)
+    assert parts[0] == (0, 26, "paragraph") and parts[1][2] == "word"
+    assert splitting.split("One is here. " + second + second, 1500, 150)[1][0] == (0, 13, "sentence")
+
+
 def test_split_operator(spark):
     long = "The clerk files the order. " * 100
     rows = [("a", long, ["H"], 3), ("a", long, ["H"], 3), ("b", long, None, None), ("c", "short", [], 0), ("d", None, [], 1), ("e", "", [], 1), ("f", " " * 2000, [], 1), ("g", "字" * 1501, [], 1), ("h", "字" * 1500, [], 1)]
