@@ -149,7 +149,7 @@ def mcnemar_truncation(s: SparkSession, d: str) -> DataFrame:
 def bootstrap_truncation(s: SparkSession, d: str) -> DataFrame:
     one = lambda c, n: F.coalesce(1 / F.col(c), F.lit(0.0)).alias(n)
     pairs = _ranks(s, d).select("query_id", one("rank", "a")).join(_ranks(s, d, 8).select("query_id", one("rank", "b")), "query_id")
-    return E.bootstrap(pairs, 2_000)
+    return E.bootstrap(pairs)
 
 
 def token_budget(s: SparkSession, d: str) -> DataFrame:

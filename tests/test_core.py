@@ -14,6 +14,7 @@ from corpusmill.functions.stem import stem
 from corpusmill.operators import audit, evaluation, graph, references
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import structure as Q
+from corpusmill.plans import retrieval
 from corpusmill.sources import files, sinks
 from corpusmill.streaming import log
 
@@ -152,6 +153,14 @@ def test_bootstrap_covers_the_mean(spark):
     assert r.n == 200 and r.low < r["mean"] < r.high and r.low > 0
 
 
+def test_bootstrap_truncation_draws_in_full(spark, monkeypatch):
+    ranks = [spark.createDataFrame([(str(i), 1 + i * k % 7) for i in range(60)], "query_id string, rank int") for k in (2, 3)]
+    monkeypatch.setattr(retrieval, "_ranks", lambda s, d, dims=None: ranks[dims is not None])
+    pairs = ranks[0].selectExpr("query_id", "1 / rank AS a").join(ranks[1].selectExpr("query_id", "1 / rank AS b"), "query_id")
+    low_high = lambda df: df.select("low", "high").first()
+    assert low_high(retrieval.bootstrap_truncation(spark, "")) == pytest.approx(low_high(evaluation.bootstrap(pairs, 20_000)), rel=1e-9)
+
+
 def test_near_duplicates_of_hits(spark):
     rows = [("q", 1, "a", "the clerk files the order"), ("q", 2, "b", "the clerk files the orders"), ("q", 3, "c", "a guardian appeals"), ("q", 4, "d", "")]
     df = spark.createDataFrame(rows, "query_id string, rank int, id string, text string")
