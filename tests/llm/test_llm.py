@@ -74,14 +74,44 @@ def test_pairs_copies_of_many_repeats():
 def test_language_of_a_long_run():
     model = pairs.Language(pairs.seed_words())
     head, rest = "法院应当在开庭后十日内就申请作出决定提交答复的一方应当把副本送达另一方如果书记员没有记录命令", "судопроизводствозаявлениеходатайство" * 9
-    assert len(head) > 40 and pairs.LANGUAGES[int(model.posterior(head).argmax())] == "zh"
-    assert pairs.LANGUAGES[int(model.posterior(head + rest).argmax())] == "ru"
+    assert len(head) > 40 and model.language_of(head) == "zh"
+    assert model.language_of(head + rest) == "ru"
 
 
 def test_language_model_held_out():
     m = pairs.fit_language([])
     for lang, text in (("pt", "A criança poderá assinar a certidão depois da sessão."), ("pl", "Świadek odrzuca załącznik przed rozprawą."), ("vi", "Nhân viên gửi bản dịch tại phiên họp."), ("ru", "Секретарь хранит перевод дела."), ("zh", "法院通常批准申请书。"), ("de", "Der Vormund verkündet die Verfügung nach Prüfung.")):
-        assert pairs.LANGUAGES[int(m.posterior(text).argmax())] == lang
+        assert m.language_of(text) == lang
+
+
+def test_what_is_counted_decides_truncation():
+    """Counts that say texts and sentences end after a mark make the same end sound, and the other way round."""
+
+    def verdict(text, learned):
+        ending = pairs.Ending(pairs.seed_counts() + pairs.count_contexts(learned))
+        m, ends = pairs.Marks()([text])
+        slots = pairs.contexts(m, ends)[ends - 1]
+        return "truncated" if ending.sentence_ends(slots)[0] < 0.5 or ending.text_ends(slots)[0] < 10 else "sound"
+
+    plain = ["The clerk files the order. The court hears the motion."] * 50
+    assert verdict("The clerk files the order ~", plain) == "truncated" and verdict("The clerk files the order.", plain) == "sound"
+    assert verdict("The clerk files the order ~", plain + ["The clerk files it ~ The court hears it ~ The party may go ~"] * 400) == "sound"
+    assert verdict("Under MCR 6.", plain + ["The rule MCR 6.201 holds. See MCR 4.100."] * 50) == "truncated"
+    assert verdict("The clerk files the order.", ["The v. order. file the no. of the id. number and the no. of it"] * 3000) == "truncated"
+
+
+def test_declining_is_learned_without_the_phrase():
+    """Phrases of a kind that no text of the sample holds are still told from answers."""
+    answers = [f"The {a} must {b} the {c} within {n} days. [1]" for n, (a, b, c) in enumerate([(a, b, c) for a in ("clerk", "court", "party") for b in ("file", "serve", "sign") for c in ("order", "motion", "notice")])] * 6
+    refusals = ["The sources are silent on this.", "I cannot help with that matter.", "I must decline to answer that.", "This is not covered by the rules supplied.", "As an assistant I cannot give legal advice."] * 6
+    language = pairs.fit_language([])
+    tokens = pairs.Tokens(language)
+    model = pairs.fit_declining(tokens, [(t, False) for t in answers] + [(t, i % 4 > 0) for i, t in enumerate(refusals)])
+    fresh = ["The provided material offers nothing on that point.", "I am not able to answer this.", "The passages do not say.", "Nothing in the sources covers this matter.", "I can't help with legal advice."]
+    sound = ["The clerk must file the order.", "Only the party may sign the notice.", "The court must serve the motion within 10 days.", "Yes. See MCR 2.653(G)."]
+    s = tokens.sentences(fresh + sound)
+    said = model.refusals(s, len(fresh + sound)).tolist()
+    assert sum(said[: len(fresh)]) >= len(fresh) - 1 and not any(said[len(fresh) :])
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
