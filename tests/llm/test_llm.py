@@ -453,3 +453,16 @@ def test_encoding_losses_and_traps(spark):
     assert [got[100 + i].text for i in (0, 1, 2, 3, 4, 5)] == ["the child’s motion", "a résumé here", "the § 3 rule", "child’s", "it was “quoted”", CLEAN[0]]
     assert got[106].text == "the “first” motion"
     assert encoding.restore_encoding(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [encoding.BROADCAST_CHARS, 0])
+def test_encoding_single_bytes_and_no_caps(spark, monkeypatch, limit):
+    """Other single-byte encodings, by frequency; tokens of any length, seen once; damaged tokens broadcast or joined."""
+    monkeypatch.setattr(encoding, "BROADCAST_CHARS", limit)
+    sound = ["Ñandor is naïve, a résumé", "Суд решил", "Ñandor saw the naïve façade", "Ï saw × 3 µ"] * 5 + ["Język ďábel loď", "Straße", "văn bản"]
+    long = "法院应当在开庭后十日内就申请作出决定提交答复的一方应当把副本送达另一方如果书记员没有记录命令" * 3
+    bad = ["Ńandor’s case is naďve", "Ñóä решил", "a rŽsumŽ of Ñandor", garble(long, "cp1252"), "the fa�ade", "Î±Î²Î³ and ðŸ˜€", "x" * 60 + "Ã©"]
+    rows = [(i, t) for i, t in enumerate(sound)] + [(100 + i, t) for i, t in enumerate(bad)]
+    out = {r.doc_id: r for r in encoding.restore_encoding(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(out) == {100 + i for i in range(len(bad))}
+    assert [out[100 + i].text for i in range(len(bad))] == ["Ñandor’s case is naïve", "Суд решил", "a résumé of Ñandor", long, "the façade", "αβγ and 😀", "x" * 60 + "é"]
