@@ -22,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialise
+
 MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,200}>|&(?:nbsp|amp|lt|gt|quot|#\d+|#x[0-9a-fA-F]+);", re.S)
 EMPHASIS = re.compile(r"[*_`~]+|­|[​-‍﻿]")
 BROKEN = re.compile(r"(?<=\w)-[ \t]*(?:\r\n|\n|\r)[ \t]*(?=\w)")
 WORDS = re.compile(r"[^\W_]+")
 
-Q = 16
+LENGTHS = (16, 12, 8, 6, 4)  # of the q-grams: an item takes the longest whose bound leaves something to count
 BAND = 32  # diagonals to a half band; each hit counts in two overlapping bands of twice that
+WIDTH = 8  # words to either side of a diagonal that an alignment may stray
 BLOCK_CHARS = 4_000_000
 
 FOUND = "doc_id long, query_id string, words int, edits int, item_start int, doc_start int"
@@ -36,19 +39,36 @@ FOUND = "doc_id long, query_id string, words int, edits int, item_start int, doc
 
 def words_of(text: str) -> list[str]:
     """The words of a text, without what does not count."""
-    return WORDS.findall(EMPHASIS.sub("", BROKEN.sub("", MARKUP.sub(" ", text))).lower())
+    if "<" in text or "&" in text:
+        text = MARKUP.sub(" ", text)
+    if "-" in text:
+        text = BROKEN.sub("", text)
+    if EMPHASIS.search(text):
+        text = EMPHASIS.sub("", text)
+    return WORDS.findall(text.lower())
+
 
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
-def qgrams(text: str) -> np.ndarray:
-    """A hash of the q characters from each position on."""
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(a) - Q + 1
-    if n < 1:
+
+def qgrams(a: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q characters from each position on, put together from those of half as many."""
+    if len(a) < q:
         return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(Q):
-        h = h * np.uint64(1000003) + a[i : i + n]
-    return h * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        held, h, size = {1: a}, a, 1
+        while size * 2 <= q:
+            h = h[:-size] * np.uint64(pow(1000003, size, 1 << 64)) + h[size:]
+            size *= 2
+            held[size] = h
+        out, done = held[size], size
+        for k in sorted(held, reverse=True):  # the rest of q in powers of two
+            while done + k <= q:
+                more = held[k][done:]
+                n = min(len(out), len(more))
+                out, done = out[:n] * np.uint64(pow(1000003, k, 1 << 64)) + more[:n], done + k
+        return out[: len(a) - q + 1] * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _starts(words: list[str]) -> np.ndarray:
@@ -60,96 +80,208 @@ def _starts(words: list[str]) -> np.ndarray:
 class Item:
     query_id: str
     ids: np.ndarray  # of its words
-    starts: np.ndarray
-    reach: int  # characters of the longest stretch of `least` words
-    budget: int  # q-grams that survive the allowed edits in the shortest
+    word_of: np.ndarray  # of each character
+    first: np.ndarray  # of each stretch of `least` words the place of its first q-gram, and of its last
+    last: np.ndarray
+    budgets: np.ndarray  # q-grams of each that survive the allowed edits
+
+
+class Grams:
+    """The q-grams of some items, sorted by hash, with item and position; and a table that tells most others at once."""
+
+    def __init__(self, q: int, found: list[tuple[int, np.ndarray]]):
+        self.q = q
+        every = np.concatenate([h for _, h in found])
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.owner = np.concatenate([np.full(len(h), i) for i, h in found])[order]
+        self.place = np.concatenate([np.arange(len(h)) for _, h in found])[order]
+        self.shift = np.uint64(64 - max(16, int(len(every)).bit_length() + 4))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.seen[self.hashes >> self.shift] = True
+
+
+def _flat(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of those sizes laid out one after another: where each begins, of each place its row, and its place in it."""
+    begin = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return begin, row, np.arange(int(sizes.sum())) - begin[row]
+
+
+def _any(flag: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    return np.bincount(row[flag], minlength=rows) > 0
+
+
+class Column:
+    """An array of each item, all in one, with where each begins."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.size = np.array([len(x) for x in arrays], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.all = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
+
+    def at(self, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return self.all[self.begin[item] + place]
 
 
 class Index:
-    """The q-grams of a block of evaluation items, sorted by hash, with item and position."""
+    """The q-grams of a block of evaluation items."""
 
     def __init__(self, items: list[tuple[str, str]], least: int, rate: float):
         self.least, self.rate = least, rate
         self.vocabulary: dict[str, int] = {}
         self.items: list[Item] = []
-        hashes, owner, place = [], [], []
         self.edits = round(least * rate + 0.5)
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for query_id, text in items:
             words = words_of(text)
             if len(words) < least:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
-            starts = _starts(words)
-            ends = starts + [len(w) for w in words]
-            spans = ends[least - 1 :] - starts[: len(words) - least + 1]
-            word = float(np.mean([len(w) for w in words]))
-            budget = max(4, int(spans.min() + 1 - Q - self.edits * (Q + word)))
-            h = qgrams(" ".join(words))
-            hashes.append(h)
-            owner.append(np.full(len(h), len(self.items)))
-            place.append(np.arange(len(h)))
-            self.items.append(Item(query_id, ids, starts, int(spans.max()), budget))
-        every = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.hashes = every[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.empty(0, dtype=np.int64)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, dtype=np.int64)
+            starts, size = _starts(words), np.array([len(w) for w in words])
+            spans = (starts + size)[least - 1 :] - starts[: len(words) - least + 1]
+            # of each stretch the edits may fall on its longest words
+            worst = np.sort(np.lib.stride_tricks.sliding_window_view(size, least), axis=1)[:, least - self.edits :].sum(axis=1)
+            left = {q: spans + 1 - q - worst - self.edits * q for q in LENGTHS}
+            q = next((q for q in LENGTHS if left[q].min() >= 4), LENGTHS[-1])
+            by_length.setdefault(q, []).append((len(self.items), qgrams(points(" ".join(words)), q)))
+            first = starts[: len(spans)]
+            word_of = np.repeat(np.arange(len(words)), size + 1)
+            self.items.append(Item(query_id, ids, word_of, first, first + spans - q, np.maximum(1, left[q])))
+        self.grams = [Grams(q, found) for q, found in sorted(by_length.items())]
+        self.least_budget = np.array([i.budgets.min() for i in self.items], dtype=np.int64)
+        column = lambda f: Column([f(i) for i in self.items])
+        self.ids, self.word_of = column(lambda i: i.ids), column(lambda i: i.word_of)
+        self.first, self.last, self.budgets = column(lambda i: i.first), column(lambda i: i.last), column(lambda i: i.budgets)
 
-    def candidates(self, h: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(item, places in the document, places in the item) of the bands that meet the item's budget."""
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+    def bands(self, grams: Grams, doc: np.ndarray, at: np.ndarray, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, least and greatest shift in words) of the bands of diagonals that meet the bound of a stretch.
+
+        doc, at, h, word: of q-grams of documents their document, place, hash and word.
+        """
+        none = (np.empty(0, dtype=np.int64),) * 4
+        lo, hi = np.searchsorted(grams.hashes, h, "left"), np.searchsorted(grams.hashes, h, "right")
         n = hi - lo
-        total = int(n.sum())
-        if not total:
-            return []
-        at = np.repeat(np.arange(len(h)), n)
-        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
-        item, place = self.owner[entry], self.place[entry]
+        _, row, k = _flat(n)
+        entry = lo[row] + k
+        item, place = grams.owner[entry], grams.place[entry]
+        doc, at, word = doc[row], at[row], word[row]
+        pair = doc * len(self.items) + item
+        if int(pair.max()) < 20 * len(pair):
+            count = np.bincount(pair)[pair]
+        else:
+            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+            count = count[inverse]
+        keep = count >= self.least_budget[item]
+        if not keep.any():
+            return none
+        pair, item, place, at, word = pair[keep], item[keep], place[keep], at[keep], word[keep]
+        # each hit is in two bands, each of two half bands; a place of the item counts once in a band
         half = (at - place) // BAND
-        out = []
-        low = half.min()
-        wide = int(half.max() - low) + 3
-        key = item * wide + (half - low) + 1
-        # a band is a half band and the one after it; count halves once and add neighbours up
-        keys, counts = np.unique(key, return_counts=True)
-        nxt = np.searchsorted(keys, keys + 1)
-        after = np.where((nxt < len(keys)) & (keys[np.minimum(nxt, len(keys) - 1)] == keys + 1), counts[np.minimum(nxt, len(keys) - 1)], 0)
-        budgets = np.array([i.budget for i in self.items])[keys // wide]
-        good = keys[counts + after >= budgets]
-        if not len(good):
-            return []
+        half -= half.min() - 1
+        wide, long = int(half.max()) + 2, int(place.max()) + 1
+        # first by half bands: what lies in no band with hits enough, repeats and all, goes
+        cell = pair * wide + half
+        if int(cell.max()) < 40 * len(cell):
+            count = np.bincount(cell, minlength=int(cell.max()) + 2)
+            count = count[cell] + np.maximum(count[cell + 1], count[cell - 1])
+        else:
+            cells, inverse, own = np.unique(cell, return_inverse=True, return_counts=True)
+            beside = lambda d: np.where((x := np.searchsorted(cells, cells + d)) < len(cells), own[np.minimum(x, len(cells) - 1)] * (cells[np.minimum(x, len(cells) - 1)] == cells + d), 0)
+            count = (own + np.maximum(beside(1), beside(-1)))[inverse]
+        keep = count >= self.least_budget[item]
+        if not keep.any():
+            return none
+        pair, item, place, half, word = pair[keep], item[keep], place[keep], half[keep], word[keep]
+        shift = word - self.word_of.at(item, place)
+        key = (np.concatenate([pair * wide + half, pair * wide + half - 1])) * long + np.concatenate([place, place])
         order = np.argsort(key, kind="stable")
-        key, at, place = key[order], at[order], place[order]
-        for k in good:
-            a, b = np.searchsorted(key, k, "left"), np.searchsorted(key, k + 1, "right")
-            i = int(k // wide)
-            p = np.unique(place[a:b])
-            room = self.items[i].reach + 1 - Q
-            if (np.searchsorted(p, p + max(1, room), "left") - np.arange(len(p))).max() >= self.items[i].budget:
-                out.append((i, at[a:b], place[a:b]))
-        return out
-
-    def find(self, text: str) -> list[tuple[str, int, int, int, int]]:
-        """(query_id, words, edits, item_start, doc_start) of the items of which the text holds a stretch."""
-        words = words_of(text)
-        if len(words) < self.least - self.edits or not self.items:
-            return []
-        starts = _starts(words)
-        ids = None
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for i, at, place in self.candidates(qgrams(" ".join(words))):
-            item = self.items[i]
-            if ids is None:
-                ids = np.array([self.vocabulary.get(w, -1) for w in words])
-            shift = np.searchsorted(starts, at, "right") - np.searchsorted(item.starts, place, "right")
-            for c in np.unique(np.percentile(shift, (10, 50, 90), method="nearest")):
-                found = stretch(item.ids, ids, int(c), self.least, self.rate)
-                if found and (i not in best or found[0] > best[i][0]):
-                    best[i] = found
-        return [(self.items[i].query_id, *f) for i, f in best.items()]
-
-
-def stretch(item: np.ndarray, doc: np.ndarray, shift: int, least: int, rate: float, width: int = 8) -> tuple[int, int, int, int] | None:
+        key, shift = key[order], np.concatenate([shift, shift])[order]
+        band = key // long
+        new = np.append(True, band[1:] != band[:-1])
+        begin = np.flatnonzero(new)
+        fresh = np.append(True, key[1:] != key[:-1])
+        count = np.add.reduceat(fresh.astype(np.int64), begin)
+        owner = band[begin] // wide % len(self.items)
+        good = np.flatnonzero(count >= self.least_budget[owner])
+        if not len(good):
+            return none
+        # of the rest every stretch of the item is held against its own bound
+        low, high = np.minimum.reduceat(shift, begin)[good], np.maximum.reduceat(shift, begin)[good]
+        place_of = np.full(len(begin), -1)
+        place_of[good] = np.arange(len(good))
+        of = place_of[np.cumsum(new) - 1]
+        mine = (of >= 0) & fresh
+        owner, where = owner[good], band[begin][good] // wide // len(self.items)
+        offset = np.cumsum(self.word_of.size[owner] + 1) - self.word_of.size[owner] - 1
+        had = np.zeros(int(offset[-1] + self.word_of.size[owner[-1]]) + 2, dtype=np.int64)
+        had[offset[of[mine]] + key[mine] % long + 1] = 1
+        sums = had.cumsum()
+        _, row, k = _flat(self.first.size[owner])
+        enough = sums[offset[row] + self.last.at(owner[row], k) + 1] - sums[offset[row] + self.first.at(owner[row], k)] >= self.budgets.at(owner[row], k)
+        some = _any(enough, row, len(owner))
+        return where[some], owner[some], low[some], high[some]
+
+    def alike(self, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Of alignments (words of a document, item, diagonal) whether enough words of some stretch are found near the diagonal."""
+        _, row, k = _flat(self.ids.size[item])
+        mine = self.ids.at(item[row], k)
+        same = np.zeros(len(row), dtype=bool)
+        for near in range(-WIDTH, WIDTH + 1):
+            at = k + shift[row] + near
+            inside = (at >= 0) & (at < size[row])
+            same |= inside & (ids[np.where(inside, begin[row] + at, 0)] == mine)
+        sums = np.append(0, np.cumsum(same))
+        stretches = k + self.least <= self.ids.size[item][row]
+        at = np.flatnonzero(stretches)
+        enough = sums[at + self.least] - sums[at] >= self.least - self.edits
+        return _any(enough, row[at], len(item))
+
+    def find(self, texts: list[str]) -> list[list[tuple[str, int, int, int, int]]]:
+        """Of each text (query_id, words, edits, item_start, doc_start) of the items of which it holds a stretch.
+
+        All texts are hashed, and their bands counted, at once; only what still can be a stretch is aligned on its own.
+        """
+        if not self.items or not texts:
+            return [[] for _ in texts]
+        words = [w if len(w) >= self.least - self.edits else [] for w in map(words_of, texts)]
+        joined = [" ".join(w) for w in words]
+        a = points("\x00".join(joined) + "\x00")
+        ends = np.cumsum([len(t) + 1 for t in joined])
+        begin = np.append(0, ends[:-1])
+        blanks = np.cumsum(a == 32)
+        best: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
+        for grams in self.grams:
+            h = qgrams(a, grams.q)
+            hit = np.flatnonzero(grams.seen[h >> grams.shift])
+            doc = np.searchsorted(ends, hit, "right")
+            inside = hit + grams.q < ends[doc]
+            hit, doc = hit[inside], doc[inside]
+            if not len(hit):
+                continue
+            word = blanks[hit] - blanks[begin[doc]]
+            d, item, low, high = self.bands(grams, doc, hit - begin[doc], h[hit], word)
+            if not len(d):
+                continue
+            # an alignment covers WIDTH diagonals to either side: as many of them as cover the band
+            _, row, k = _flat((high - low) // (WIDTH + 1) + 1)
+            todo = np.unique(np.stack([d[row], item[row], low[row] + k * (WIDTH + 1) + WIDTH // 2], axis=1), axis=0)
+            used = np.unique(todo[:, 0])
+            size = np.array([len(w) for w in words])
+            ids, at = [], np.zeros(len(texts), dtype=np.int64)
+            for x in used.tolist():
+                at[x] = len(ids)
+                ids += [self.vocabulary.get(w, -1) for w in words[x]]
+            ids = np.array(ids, dtype=np.int64)
+            ok = self.alike(ids, at[todo[:, 0]], size[todo[:, 0]], todo[:, 1], todo[:, 2])
+            for x, i, shift in todo[ok].tolist():
+                found = stretch(self.items[i].ids, ids[at[x] : at[x] + size[x]], shift, self.least, self.rate)
+                if found and (i not in best[x] or found[0] > best[x][i][0]):
+                    best[x][i] = found
+        return [[(self.items[i].query_id, *f) for i, f in b.items()] for b in best]
+
+
+def stretch(item: np.ndarray, doc: np.ndarray, shift: int, least: int, rate: float, width: int = WIDTH) -> tuple[int, int, int, int] | None:
     """The longest stretch of at least `least` words of the item that an alignment around the diagonal `shift` finds in
     the document with at most rate x its words changed, added or dropped: (words, edits, item_start, doc_start)."""
     g = len(item)
@@ -234,6 +366,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 20, rate: float =
     chars = items.agg(F.coalesce(F.sum(F.length("gold_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    types = [pa.int64(), pa.string(), *[pa.int32()] * 4]
+    names = ["doc_id", "query_id", "words", "edits", "item_start", "doc_start"]
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).orderBy("query_id").collect()  # BLOCK_CHARS characters, about
@@ -241,11 +375,16 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 20, rate: float =
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(d, *f) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in index.value.find(t)]
-                cols = list(zip(*found, strict=True)) if found else [[]] * 6
-                types = [pa.int64(), pa.string(), *[pa.int32()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "query_id", "words", "edits", "item_start", "doc_start"])
+                for at in range(0, b.num_rows, 250):  # very long texts must not add up
+                    part = b.slice(at, 250)
+                    said = index.value.find(part.column(1).to_pylist())
+                    found = [(d, *f) for d, all_found in zip(part.column(0).to_pylist(), said, strict=True) for f in all_found]
+                    cols = list(zip(*found, strict=True)) if found else [[]] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
         part = texts.mapInArrow(search, FOUND)
+        if blocks > 1:  # one block's index at a time
+            part = materialise(part, "leaks")
+            index.unpersist()
         out = part if out is None else out.unionByName(part)
     return out.distinct()
