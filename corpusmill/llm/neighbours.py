@@ -2,7 +2,7 @@
 
 A tree gives every vector a long string of bits, one hyperplane to a bit, the hyperplane depending on the bits so far.
 Vectors sorted by their strings are a tree: those with the longest common prefix lie side by side. The hyperplanes of
-the first bits are fitted once, on a bounded sample, and split the collection into regions of bounded size; those of
+the first bits are fitted on samples and split the collection into regions of bounded size, which is measured; those of
 the later bits are fitted inside the region, on its own rows. In a region several strings are made of each vector;
 every one is descended to the longest prefix that no more than `leaf` vectors share, ascending again, in all trees
 alike, where fewer than `least` candidates came out. What is found in all trees of all regions is merged for each vector.
@@ -110,39 +110,139 @@ def forest_neighbours(x: np.ndarray, k: int, trees: int, leaf: int, least: int,
     return ids, sims
 
 
-class Regions:
-    """Coarse trees fitted on a bounded sample: the first bits of `trees` strings."""
-
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int):
-        self.depth, self.trees = depth, []
-        for t in range(trees):
-            rng = np.random.default_rng(seed * 7919 + t)
-            nodes: list[tuple[np.ndarray, float]] = []
-            groups = [np.arange(len(sample))]
-            for _ in range(depth):
-                below = []
-                for rows in groups:
-                    cut = _halving(sample[rows], rng, 512) if len(rows) > 3 else None
-                    if cut is None:  # too few rows here: a hyperplane through the origin
-                        cut = rng.standard_normal(sample.shape[1]).astype(np.float32), 0.0
-                    nodes.append(cut)
-                    one = sample[rows] @ cut[0] > cut[1]
-                    below += [rows[~one], rows[one]]
-                groups = below
-            self.trees.append(nodes)
-
-    def of(self, x: np.ndarray, tree: int) -> np.ndarray:
-        """The region of each row: its first bits as a number."""
-        out = np.zeros(len(x), dtype=np.int64)
-        nodes, base = self.trees[tree], 0
-        for level in range(self.depth):
-            above, out = out, np.zeros_like(out)
-            for node in np.unique(above):
-                rows = np.flatnonzero(above == node)
-                w, t = nodes[base + node]
-                out[rows] = 2 * node + (x[rows] @ w > t)
-            base += 2**level
-        return out
+STEP = 6  # bits fitted at a time
+ENOUGH = 128  # rows of a sample by which a hyperplane is fitted, at least
+
+
+def fit_planes(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The hyperplanes (w, t) of a whole tree of that depth, level by level, each halving the sample's rows that reach it."""
+    w, t, groups = [], [], [np.arange(len(sample))]
+    for _ in range(depth):
+        below = []
+        for rows in groups:
+            cut = _halving(sample[rows], rng, 512) if len(rows) > 3 else None
+            if cut is None:  # too few or too equal rows: any hyperplane through their middle
+                at = rng.standard_normal(sample.shape[1]).astype(np.float32)
+                cut = at, float((sample[rows] if len(rows) else sample).mean(axis=0) @ at)
+            w.append(cut[0])
+            t.append(cut[1])
+            one = sample[rows] @ cut[0] > cut[1]
+            below += [rows[~one], rows[one]]
+        groups = below
+    return np.array(w, dtype=np.float32), np.array(t, dtype=np.float32)
+
+
+class CoarseTree:
+    """The first bits of one string of every vector: hyperplanes, and the regions between them as numbers from 0."""
+
+    def __init__(self):
+        self.w: list[np.ndarray] = []
+        self.t: list[float] = []
+        self.kids: list[list[int]] = []  # of each hyperplane: another, or ~region
+        self.root, self.regions = ~0, 1
+        self.above: dict[int, tuple[int, int]] = {}  # of each region: the hyperplane over it and the side
+
+    def grow(self, region: int, w: np.ndarray, t: np.ndarray) -> None:
+        """Part a region by a whole tree of hyperplanes."""
+        base, inner = len(self.w), len(w)
+        over = self.above.pop(region, None)
+        if over is None:
+            self.root = base
+        else:
+            self.kids[over[0]][over[1]] = base
+        free = region
+        for i in range(inner):
+            self.w.append(w[i])
+            self.t.append(float(t[i]))
+            kids = []
+            for side in (0, 1):
+                child = 2 * i + 1 + side
+                if child < inner:
+                    kids.append(base + child)
+                else:
+                    kids.append(~free)
+                    self.above[free] = base + i, side
+                    free = self.regions if free == region else free + 1
+            self.kids.append(kids)
+        self.regions += inner
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The region of each row."""
+        node = np.full(len(x), self.root, dtype=np.int64)
+        while len(rows := np.flatnonzero(node >= 0)):
+            order = rows[np.argsort(node[rows], kind="stable")]
+            first = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1]))
+            for part in np.split(order, first[1:]):
+                at = node[part[0]]
+                node[part] = np.array(self.kids[at])[(x[part] @ self.w[at] > self.t[at]).astype(np.int64)]
+        return ~node
+
+
+def _hashed_share(rate) -> F.Column:
+    """Whether a row is in a sample of about that share, by the hash of its id."""
+    return F.xxhash64("id").cast("double") / F.lit(2.0**64) + F.lit(0.5) <= rate
+
+
+def _fit_region(held, seed: int, k: int):
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        w, t = fit_planes(_stack(pdf["v"].tolist()), held.value[1][int(key[0]), int(key[1])], np.random.default_rng([seed, int(key[0]), int(key[1]), k]))
+        return pd.DataFrame({"tree": [key[0]], "region": [key[1]], "w": [w.tobytes()], "t": [t.tobytes()]})
+
+    return fit
+
+
+def coarse_trees(reps: DataFrame, n: int, many: int, region: int, seed: int, rounds: int = 30) -> list[CoarseTree]:
+    """Trees whose regions hold about `region` rows of reps (id, v) each, and none more than half as many again.
+
+    The first bits are fitted on a sample by the driver, of rows in proportion to the regions they part. Then the rows of
+    every region are counted; those of too many are parted further, on samples of their own rows, one task to each.
+    What is collected is counts and hyperplanes, as many as there are regions.
+    """
+    spark = reps.sparkSession
+    trees = [CoarseTree() for _ in range(many)]
+    depth = min(STEP, math.ceil(math.log2(n / region)))
+    want = 2 * ENOUGH * 2**depth
+    sample = _stack([r.v for r in reps.where(_hashed_share(F.lit(min(1.0, want / n)))).select("v").collect()])
+    for t, tree in enumerate(trees):
+        tree.grow(0, *fit_planes(sample, depth, np.random.default_rng(seed * 7919 + t)))
+    for k in range(rounds):
+        model = spark.sparkContext.broadcast(trees)
+
+        def count(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            total = [np.zeros(tree.regions, dtype=np.int64) for tree in model.value]
+            for b in batches:
+                if b.num_rows:
+                    x = _stack(b.column(0).to_pylist())
+                    for t, tree in enumerate(model.value):
+                        total[t] += np.bincount(tree.of(x), minlength=tree.regions)
+            for t, c in enumerate(total):
+                some = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t)), pa.array(some), pa.array(c[some])], names=["tree", "region", "n"])
+
+        sizes = reps.select("v").mapInArrow(count, "tree long, region long, n long").groupBy("tree", "region").agg(F.sum("n").alias("n"))
+        big = {(r["tree"], r["region"]): r["n"] for r in sizes.where(F.col("n") > int(1.5 * region)).collect()}
+        if not big:
+            break
+        bits = {key: min(STEP, max(1, math.ceil(math.log2(size / region)))) for key, size in big.items()}
+        rates = {key: min(1.0, ENOUGH * 2 ** bits[key] / size) for key, size in big.items()}
+        held = spark.sparkContext.broadcast((rates, bits))
+
+        def draw(batches: Iterator[pa.RecordBatch], model=model, held=held) -> Iterator[pa.RecordBatch]:
+            rates, _ = held.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, u = _stack(b.column(1).to_pylist()), b.column(0).to_numpy().astype(np.float64) / 2.0**64 + 0.5
+                for t, tree in enumerate(model.value):
+                    r = tree.of(x)
+                    take = np.flatnonzero(u <= np.array([rates.get((t, v), -1.0) for v in r.tolist()]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), t)), pa.array(r[take]), b.column(1).take(pa.array(take))], names=["tree", "region", "v"])
+
+        drawn = reps.select(F.xxhash64("id", F.lit(k)).alias("h"), "v").mapInArrow(draw, "tree long, region long, v binary")
+        for r in drawn.groupBy("tree", "region").applyInPandas(_fit_region(held, seed, k), "tree long, region long, w binary, t binary").orderBy("tree", "region").collect():
+            t = np.frombuffer(r["t"], dtype=np.float32)
+            trees[r["tree"]].grow(r["region"], np.frombuffer(r["w"], dtype=np.float32).reshape(len(t), -1), t)
+    return trees
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dim: int, latest: str | None = None) -> DataFrame:
@@ -184,8 +284,7 @@ def most_similar(
     k: int = 10,
     *,
     region: int = 16_000,
-    sample: int = 20_000,
-    coarse_trees: int | None = None,
+    coarse: int | None = None,
     trees: int = 5,
     leaf: int = 1200,
     least: int = 100,
@@ -198,8 +297,7 @@ def most_similar(
     a vector's own equals precede all others with a similarity of 1. Ties go to the smaller id. Fewer than k others
     give fewer rows; one vector alone gives none; an empty table gives no rows.
 
-    region: rows of one region, about; sample: rows, about, on which regions are fitted, those of the lowest hashes of the id;
-    coarse_trees: 6, and five more for each three doublings of the number of regions beyond 8, if None; trees, leaf, least:
+    region: rows of one region, about; coarse: trees of regions, 6, and five more for each three doublings of the number of regions beyond 8, if None; trees, leaf, least:
     strings made of each vector inside a region, the most vectors that share a longest prefix, candidates below which
     to ascend.
     """
@@ -208,12 +306,12 @@ def most_similar(
     reps = materialise(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "distinct-vectors")
     n, copied = reps.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
     depth = max(0, math.ceil(math.log2(n / region))) if n else 0
-    many = coarse_trees or (1 if depth == 0 else 6 + max(0, -(-5 * (depth - 3) // 3)))
+    many = coarse or (1 if depth == 0 else 6 + max(0, -(-5 * (depth - 3) // 3)))
+    regions = 1
     if depth:
-        # `sample` rows are expected below this hash; an ordered limit would send as many from every task
-        most = int(2**64 * min(1.0, sample / n)) - 2**63
-        fitted = reps.where(F.xxhash64("id") <= F.lit(min(most, 2**63 - 1))).select("v").collect()
-        model = spark.sparkContext.broadcast(Regions(_stack([r.v for r in fitted]), many, depth, seed))
+        planted = coarse_trees(reps.select("id", "v"), n, many, region, seed)
+        regions = max(t.regions for t in planted)
+        model = spark.sparkContext.broadcast(planted)
     total = trees if depth else 3 * trees
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +320,8 @@ def most_similar(
                 continue
             x = _stack(b.column(1).to_pylist()) if depth else None
             for t in range(many):
-                r = model.value.of(x, t) * many + t if depth else np.zeros(b.num_rows, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(r), b.column(0).cast(pa.string()), b.column(1)], names=["region", "id", "v"])
+                r = model.value[t].of(x) * many + t if depth else np.zeros(b.num_rows, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), b.column(0).cast(pa.string()), b.column(1)], names=["region", "id", "v"])
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, x = pdf["id"].to_numpy(dtype=object), _stack(pdf["v"].tolist())
@@ -236,7 +334,9 @@ def most_similar(
             out_sims.append((x[row].astype(np.float64) * x[i]).sum(axis=1))
         return pd.DataFrame({"id": names, "ids": out_ids, "sims": out_sims})
 
-    placed = reps.select("id", "v").mapInArrow(assign, "region long, id string, v binary")
+    placed = reps.select("id", "v").mapInArrow(assign, "region int, id string, v binary")
+    # one region to a partition: what a task reads is a region, however many there are
+    placed = placed.repartitionById(regions * many, F.col("region")) if depth else placed
     found = placed.groupBy("region").applyInPandas(search, NEIGHBOUR)
     pairs = found.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip(F.expr("transform(sims, x -> -x)").alias("s"), F.col("ids").alias("i")))).alias("all"))
     best = F.slice(F.array_sort(F.array_distinct("all")), 1, k)

@@ -182,6 +182,18 @@ def test_similar_recall_against_brute_force(spark):
     assert near[7][100] == pytest.approx(1) and near[100][7] == pytest.approx(1)
 
 
+def test_regions_are_bounded(spark):
+    """A third of all vectors in one narrow place: every region is parted until none is much over its size."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = x[0] + 1e-3 * rng.standard_normal((2000, 64))
+    reps = neighbours.usable_vectors(vector_frame(spark, x), "chunk_id", "embedding", 64)
+    u = neighbours._stack([r.v for r in reps.collect()])
+    for tree in neighbours.coarse_trees(reps, 6000, 3, 40, 1):
+        sizes = np.bincount(tree.of(u), minlength=tree.regions)
+        assert sizes.sum() == 6000 and sizes.max() <= 60 and tree.regions < 6000 / 40 * 4
+
+
 def test_similar_hard_cases(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 64))
