@@ -124,7 +124,7 @@ def test_pack_histogram(seed):
     items = rng.integers(1, cap + 1, rng.integers(1, 400))
     lengths, counts = np.unique(items, return_counts=True)
     got = Counter()
-    classes = packing.pack_histogram(lengths, counts, cap)
+    classes = packing.pack_histograms([(lengths, counts)], cap)[0]
     for content, n in classes:
         assert sum(k * v for k, v in content.items()) <= cap
         for k, v in content.items():
@@ -136,7 +136,7 @@ def test_pack_histogram(seed):
 def test_least_squares_meets_an_exact_histogram():
     lengths, counts = np.array([100, 200, 212]), np.array([30, 30, 30])
     cols, waste = packing.combinations(lengths, 512, 8)
-    x = packing.least_squares(cols, waste, counts)
+    x = packing.least_squares([(cols, waste, counts)])[0]
     full = [i for i, c in enumerate(cols) if sorted(c) == [0, 1, 2]]
     assert abs(x[full].sum() - 30) < 1
 
