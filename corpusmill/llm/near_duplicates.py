@@ -30,8 +30,8 @@ from pyspark.sql.window import Window as W
 from corpusmill.session import materialise
 
 WORDS = re.compile(r"[^\W_]+")
-SLOT_BITS, CHUNK_BITS = 18, 14
-SLOTS, CHUNK = 1 << SLOT_BITS, 1 << CHUNK_BITS  # counters behind the order of shingles: 1 MB whatever the data
+CHUNK = 1 << 14  # counters of shingles that are sent together
+LEAST_BITS, MOST_BITS = 18, 24  # of the number of counters: 2 MB to 128 MB in a task, half of that broadcast
 WIDTHS = (256, 512, 1024, 2048)  # bits of a set's bitmap, by its size
 BROADCAST_ROWS = 500_000
 
@@ -128,8 +128,14 @@ def _parts(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.R
             yield b.slice(at, most)
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _slots(rows: DataFrame) -> int:
+    """Counters for the shingles of the texts: one for eight of them or so, each character beginning a sixth of one."""
+    n = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6
+    return 1 << min(MOST_BITS, max(LEAST_BITS, (n // 8).bit_length()))
 
 
 def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
@@ -147,26 +153,27 @@ def texts(df: DataFrame, key: str, text: str, space: str) -> DataFrame:
     return df.select(F.lit(space).alias("space"), F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
 
-def _pass_one(words: int, least: int):
+def _pass_one(words: int, least: int, slots: int):
     """Rows (space, id, set, size, text_hash) of each record, and rows (size: chunk, counts) of the counters of shingles by slot."""
     names = ["space", "id", "set", "size", "text_hash", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, total = Shingler(words), np.zeros(SLOTS, dtype=np.int64)
+        make, total = Shingler(words), np.zeros(slots, dtype=np.int64)
         for b in _parts(batches):
             said = b.column(2).to_pylist()
             sets = make(said)
             ok = np.flatnonzero((sets.n_words >= least) & (sets.size > 0))
             counted = np.zeros(len(sets.size), dtype=bool)
             counted[ok] = True
-            total += np.bincount(_slot(sets.hashes[counted[sets.owner]]), minlength=SLOTS)
+            np.add.at(total, _slot(sets.hashes[counted[sets.owner]], slots), 1)
             take = pa.array(ok)
             own = [int.from_bytes(hashlib.blake2b(said[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for i in ok.tolist()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(sets.hash()[ok]), pa.array(sets.size[ok].astype(np.int32)), pa.array(own, pa.int64()), pa.nulls(len(ok), pa.binary())], names=names)
-        if total.any():
-            n = SLOTS // CHUNK
-            blobs = [zlib.compress(c.tobytes(), 1) for c in total.reshape(n, CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())], names=names)
+        chunks = total.reshape(slots // CHUNK, CHUNK)
+        some = np.flatnonzero(chunks.any(axis=1)).astype(np.int32)
+        if n := len(some):
+            blobs = [zlib.compress(chunks[i].tobytes(), 1) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(some), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -197,7 +204,7 @@ def _postings(words: int, least: int, t: float, order, blocks):
             rows = np.flatnonzero(new)
             keep = new[sets.owner]
             owner, h = sets.owner[keep], sets.hashes[keep]
-            slot = _slot(h)
+            slot = _slot(h, len(rank))
             first = np.lexsort((h, rank[slot], owner))  # ties in rank: by hash
             owner, h, slot = owner[first], h[first], slot[first]
             size = np.where(new, sets.size, 0)
@@ -335,15 +342,16 @@ def near_duplicate_sets(rows: DataFrame, t: float, words: int = 3, least_words:
     block: about how many records of one posting list go into one side of a tile.
     """
     spark = rows.sparkSession
-    first = materialise(rows.mapInArrow(_pass_one(words, least_words), "space string, id string, set long, size int, text_hash long, counts binary"), "shingle-sets")
-    members = first.where("counts IS NULL").select("space", "id", "set", "size", "text_hash").distinct()
-    freq = np.zeros(SLOTS, dtype=np.int64)
-    for r in first.where("counts IS NOT NULL").select("size", "counts").groupBy("size").applyInPandas(_sum_counts, "size int, counts binary").collect():  # SLOTS counters
+    slots = _slots(rows)
+    first = materialise(rows.mapInArrow(_pass_one(words, least_words, slots), "space string, id string, set long, size int, text_hash long, counts binary"), "shingle-sets")
+    members = materialise(first.where("counts IS NULL").select("space", "id", "set", "size", "text_hash").distinct(), "members")
+    freq = np.zeros(slots, dtype=np.int64)
+    for r in first.where("counts IS NOT NULL").select("size", "counts").groupBy("size").applyInPandas(_sum_counts, "size int, counts binary").toLocalIterator():  # the counters, chunk by chunk
         freq[r["size"] * CHUNK : (r["size"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype=np.int64)
-    rank = np.empty(SLOTS, dtype=np.int32)
-    rank[np.argsort(freq, kind="stable")] = np.arange(SLOTS, dtype=np.int32)
+    rank = np.empty(slots, dtype=np.int32)
+    rank[np.argsort(freq, kind="stable")] = np.arange(slots, dtype=np.int32)
     # what a slot has beyond twice the usual is taken for one shingle's
-    many = np.clip((freq - 2 * np.median(freq)) // block + 1, 1, 64).astype(np.int32)
+    many = np.maximum((freq - 2 * np.median(freq)) // block + 1, 1).astype(np.int32)
     order, blocks = spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(many)
 
     posted = rows.select("space", "text").mapInArrow(_postings(words, least_words, t, order, blocks), POSTING)
