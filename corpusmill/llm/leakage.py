@@ -375,8 +375,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 20, rate: float =
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 250):  # very long texts must not add up
-                    part = b.slice(at, 250)
+                for at in range(0, b.num_rows, 64):  # arrays that stay in the cache; very long texts must not add up
+                    part = b.slice(at, 64)
                     said = index.value.find(part.column(1).to_pylist())
                     found = [(d, *f) for d, all_found in zip(part.column(0).to_pylist(), said, strict=True) for f in all_found]
                     cols = list(zip(*found, strict=True)) if found else [[]] * 6
