@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What the three detectors of a refusal look for.
 NO_ANSWER = r"(?i)do(es)? not (answer|address|contain|provide)|not answered|no provision|cannot be answered|do not (support|establish)|passages do not|is not (governed|addressed) by"
-REFUSAL_PHRASES = ("do not contain enough information", "cannot be determined", "unable to find", "do not say", "not addressed by", "silent on this point")
+REFUSAL_PHRASES = (
+    "do not contain enough", "don't contain enough", "do not have enough", "don't have enough", "insufficient information", "cannot answer", "can't answer", "no information about",
+    "sources do not address", "sources don't address", "not enough information", "unable to find", "i'm unable to", "no relevant information", "not in the provided",
+)
+REFUSAL_TERMS = (
+    "do not answer", "does not answer", "not answered", "no provision", "cannot be answered", "do not state", "do not specify", "passages provided do not", "do not establish", "do not set",
+    "do not address", "do not contain", "is not addressed", "not found in the", "outside the michigan court rules", "governed by statute", "would be found in", "passages do not",
+)
 
 
 def first_sentence(c: Column) -> Column:
@@ -27,6 +38,12 @@ def refusal_by_lead(answer: Column) -> Column:
     return any_of(lead) | (any_of(low) & ~low.rlike(r"\[\d+"))
 
 
+def refusal_by_term(answer: Column) -> Column:
+    """A term anywhere."""
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    return F.exists(F.array(*[F.lit(p) for p in REFUSAL_TERMS]), lambda p: F.contains(low, p))
+
+
 def cited_numbers_ok(numbers: Column, k: Column) -> Column:
     """Whether at least one marker names a passage from 1 to k."""
     return F.exists(numbers, lambda n: (n >= 1) & (n <= k))
@@ -55,14 +72,26 @@ def stale_hashes(df: DataFrame, key: str, text: str, stored: str, width: int = 6
 
 
 def chain(df: DataFrame, group: str, order: str, body: str) -> DataFrame:
-    """(group, lines): the hash chain of each group's lines, sha256(hash of the line before || body), in order.
+    """(group, seq, hash): the hash chain of each group's lines, sha256(hash of the line before || body), in order.
 
-    A fold over the group's array: the chain is sequential by nature, and a group is one workspace's log.
+    The chain is sequential by nature: groups are spread over tasks, their lines sorted by the shuffle and streamed, so
+    that all that is held of a group is its last hash.
     """
-    lines = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("seq"), F.col(body).alias("body")))).alias("a"))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<seq:bigint,hash:string>>").alias("out"))
-    step = lambda s, x: F.struct(F.sha2(F.concat(s["last"], x["body"]), 256).alias("last"), F.concat(s["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), F.sha2(F.concat(s["last"], x["body"]), 256).alias("hash")))).alias("out"))
-    return lines.select(group, F.inline(F.aggregate("a", start, step)["out"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, last = None, b""
+        for b in batches:
+            hashes = []
+            for g, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if g != mine:
+                    mine, last = g, b""
+                last = hashlib.sha256(last + (text or "").encode("utf-8")).hexdigest().encode()
+                hashes.append(last.decode())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.string())], names=[group, "seq", "hash"])
+
+    rows = df.where(F.col(group).isNotNull()).select(group, F.col(order).cast("long").alias("seq"), F.col(body).alias("body"))
+    kind = rows.schema[group].dataType.simpleString()
+    return rows.repartition(group).sortWithinPartitions(group, "seq", "body").mapInArrow(run, f"{group} {kind}, seq long, hash string")
 
 
 def first_break(logged: DataFrame, group: str, order: str, body: str, hashed: str) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,34 +46,38 @@ def mcnemar(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("p_value", F.when(total == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * tail), 6)))
 
 
-def bootstrap(pairs: DataFrame, draws: int = 20_000, seed: int = 1) -> DataFrame:
+def bootstrap(pairs: DataFrame, draws: int = 20_000, seed: int = 1, blocks: int = 64) -> DataFrame:
     """One row (n, mean, low, high): the mean difference of (query_id, a, b) and its 95 % interval by resampling.
 
-    Each pair's number of draws in a resample is Poisson, seeded by its id, so partitions are resampled on their own
-    and only their sums meet.
+    Each pair's number of draws in a resample is Poisson. Pairs are put into blocks by the hash of their id and a block
+    has one generator, so blocks are resampled on their own, whatever the partitions, and only their sums meet.
     """
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, count, n, s = np.zeros(draws), np.zeros(draws), 0, 0.0
-        for pdf in batches:
-            for key, d in zip(pdf["h"], pdf["d"], strict=True):
-                times = np.random.default_rng([seed, int(key) & 0xFFFFFFFF]).poisson(1.0, draws)
-                total += times * d
-                count += times
-                n, s = n + 1, s + d
-        yield pd.DataFrame({"draw": np.arange(draws), "total": total, "count": count, "n": n, "s": s})
-
-    sums = pairs.select(F.xxhash64("query_id").alias("h"), (F.col("a") - F.col("b")).alias("d")).where("d IS NOT NULL").mapInPandas(part, "draw int, total double, count double, n long, s double")
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rng, d = np.random.default_rng([seed, int(key[0])]), pdf.sort_values(["h", "d"])["d"].to_numpy()
+        total, count = np.zeros(draws), np.zeros(draws)
+        for at in range(0, len(d), 256):
+            part = d[at : at + 256]
+            times = rng.poisson(1.0, (len(part), draws))
+            total += part @ times
+            count += times.sum(axis=0)
+        return pd.DataFrame({"draw": np.arange(draws), "total": total, "count": count, "n": len(d), "s": d.sum()})
+
+    rows = pairs.select(F.xxhash64("query_id").alias("h"), (F.col("a") - F.col("b")).alias("d")).where("d IS NOT NULL")
+    sums = rows.groupBy(F.pmod("h", F.lit(blocks)).alias("block")).applyInPandas(block, "draw int, total double, count double, n long, s double")
     means = sums.groupBy("draw").agg((F.sum("total") / F.greatest(F.sum("count"), F.lit(1.0))).alias("mean"), F.sum("n").alias("n"), F.sum("s").alias("s"))
     at = lambda f: F.element_at("m", int(f * draws) + 1)
     return means.agg(F.max("n").alias("n"), (F.max("s") / F.greatest(F.max("n"), F.lit(1))).alias("mean"), F.array_sort(F.collect_list("mean")).alias("m")).select("n", "mean", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
-def nth_of_sorted(value: str, fraction: float, by: list[str], df: DataFrame) -> DataFrame:
-    """(by..., n, value): element int(fraction x n) of the sorted values of each group, without interpolation.
+def nth_of_sorted(df: DataFrame, value: str, fractions: dict[str, float], by: list[str]) -> DataFrame:
+    """(by..., n, one column for each fraction, max): element int(fraction x n) of the sorted values of each group, without interpolation.
 
-    The element is found by its rank in a window, never in an array of the whole group.
+    Equal values are counted first; the elements are found in the running counts of distinct values, so that no task
+    sorts the rows of a group.
     """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
     w = W.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("r") == F.floor(F.col("n") * fraction)).select(*by, "n", value)
+    upto = counts.withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("n", F.sum("c").over(w))
+    at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * f), F.col(value))).alias(name) for name, f in fractions.items()]
+    return upto.groupBy(*by).agg(F.max("n").alias("n"), *at, F.max(value).alias("max"))

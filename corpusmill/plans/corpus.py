@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from corpusmill.functions import citations as C
 from corpusmill.functions import text as T
 from corpusmill.operators import audit as A
+from corpusmill.operators import evaluation as E
 from corpusmill.operators import graph as G
 from corpusmill.operators import references
 from corpusmill.operators import retrieval as R
@@ -79,7 +80,7 @@ def layout_signatures(s: SparkSession, d: str) -> DataFrame:
 
 
 def _body(s: SparkSession, d: str) -> DataFrame:
-    rows = R.latest(table(s, d, "blocks").where("kind = 'body' AND deleted_at IS NULL"), "block_id", "loaded_at", "citation", "rule", "text")
+    rows = R.latest(table(s, d, "blocks"), "block_id", "loaded_at", "citation", "rule", "text", "kind", "deleted_at").where("kind = 'body' AND deleted_at IS NULL")
     return rows.select("block_id", "citation", F.regexp_replace("rule", r"[^0-9.A-Za-z]|(?i:mcr|rule)", "").alias("rule"), "text")
 
 
@@ -119,7 +120,7 @@ def citation_markers(s: SparkSession, d: str) -> DataFrame:
 
 def refusal_flags(s: SparkSession, d: str) -> DataFrame:
     c = F.col("answer")
-    return table(s, d, "answers").groupBy(A.refusal_by_pattern(c).alias("by_pattern"), A.refusal_by_lead(c).alias("by_lead"), F.coalesce("refused", F.lit(False)).alias("refused")).agg(F.count("*").alias("n"))
+    return table(s, d, "answers").groupBy(A.refusal_by_pattern(c).alias("by_pattern"), A.refusal_by_lead(c).alias("by_lead"), A.refusal_by_term(c).alias("by_term"), F.coalesce("refused", F.lit(False)).alias("refused")).agg(F.count("*").alias("n"))
 
 
 def grounded_answers(s: SparkSession, d: str) -> DataFrame:
@@ -142,7 +143,7 @@ def provenance(s: SparkSession, d: str) -> DataFrame:
     blocks = t("blocks").where("block_id IS NOT NULL").select("block_id").distinct()
     passages = t("answer_passages").where("chunk_id IS NOT NULL").select("answer_id", "chunk_id").distinct()
     answers = t("answers").where("answer_id IS NOT NULL").select("answer_id").distinct()
-    rows = passages.join(answers, "answer_id").join(chunks, "chunk_id").join(blocks, "block_id").join(F.broadcast(t("parse_runs").select("run_id", "source_id")), "run_id")
+    rows = passages.join(answers, "answer_id").join(chunks, "chunk_id").join(blocks, "block_id").join(t("parse_runs").select("run_id", "source_id"), "run_id")
     return rows.groupBy("run_id", "source_id").agg(F.count("*").alias("n_links"), F.countDistinct("answer_id").alias("n_answers"), F.countDistinct("block_id").alias("n_blocks"))
 
 
@@ -174,10 +175,7 @@ def querylog_stats(s: SparkSession, d: str) -> DataFrame:
 def latency_percentiles(s: SparkSession, d: str) -> DataFrame:
     """p50, p90 and p95 of each generator: element int(f x n) of the sorted latencies."""
     rows = table(s, d, "answers").select(F.coalesce("generator", F.lit("unknown")).alias("generator"), "latency_ms").where("latency_ms IS NOT NULL")
-    w = W.partitionBy("generator")
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy("latency_ms")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda f, n: F.max(F.when(F.col("r") == F.floor(F.col("n") * f), F.col("latency_ms"))).alias(n)
-    return ranked.groupBy("generator").agg(F.max("n").alias("n"), at(0.5, "p50"), at(0.9, "p90"), at(0.95, "p95"), F.max("latency_ms").alias("max"))
+    return E.nth_of_sorted(rows, "latency_ms", {"p50": 0.5, "p90": 0.9, "p95": 0.95}, ["generator"])
 
 
 def facet_counts(s: SparkSession, d: str) -> DataFrame:
@@ -350,8 +348,8 @@ q1 AS (SELECT *, length(regexp_replace(t, '[^ ]', '', 'g')) / length(t) AS sp, l
 q AS (SELECT *, {_GARBLED} AS g FROM q1)"""
 
 _CITE2 = r"\bMCR\s+(\d+\.\d+[A-Za-z]?)((?:\s*\([A-Za-z0-9]{1,4}\))*)"
-_BODY = r"""b0 AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC NULLS LAST, citation DESC NULLS LAST, rule DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM blocks WHERE kind = 'body' AND deleted_at IS NULL AND block_id IS NOT NULL),
-body AS (SELECT block_id, citation, regexp_replace(rule, '[^0-9.A-Za-z]|(?i:mcr|rule)', '', 'g') AS rule, coalesce(text, '') AS text FROM b0 WHERE rn = 1)"""
+_BODY = r"""b0 AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC NULLS LAST, citation DESC NULLS LAST, rule DESC NULLS LAST, text DESC NULLS LAST, kind DESC NULLS LAST, deleted_at DESC NULLS LAST) AS rn FROM blocks WHERE block_id IS NOT NULL),
+body AS (SELECT block_id, citation, regexp_replace(rule, '[^0-9.A-Za-z]|(?i:mcr|rule)', '', 'g') AS rule, coalesce(text, '') AS text FROM b0 WHERE rn = 1 AND kind = 'body' AND deleted_at IS NULL)"""
 _MENTION = rf"""WITH {_BODY},
 m0 AS (SELECT block_id, citation, rule, regexp_extract_all(text, '{_CITE2}', 1) AS rs, regexp_extract_all(text, '{_CITE2}', 2) AS gs, regexp_split_to_array(text, '{_CITE2}') AS bt FROM body),
 m1 AS (SELECT block_id, citation, rule, rs, gs, bt, unnest(range(1, len(rs) + 1)) AS i FROM m0),
@@ -366,11 +364,14 @@ e1 AS (SELECT e0.*, row_number() OVER (PARTITION BY block_id, i ORDER BY length(
 e2 AS (SELECT citation AS src, rule AS src_rule, cand AS dst, cited_rule AS dst_rule, {_REL} AS relation FROM e1 WHERE k = 1),
 edges AS (SELECT src, dst, relation, min(src_rule) AS src_rule, min(dst_rule) AS dst_rule, min({_FORCE}) AS force FROM e2 GROUP BY src, dst, relation)"""
 _CKEY = lambda c: rf"regexp_replace(regexp_replace({c}, '[\s\x{{85}}\x{{1c}}-\x{{1f}}\pZ]+', '', 'g'), '^(?i:mcr)', '')"
-_PHRASES = "[" + ", ".join(f"'{p}'" for p in A.REFUSAL_PHRASES) + "]"
+_LIST = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+_PHRASES, _TERMS = _LIST(A.REFUSAL_PHRASES), _LIST(A.REFUSAL_TERMS)
+_BYTERM = f"len(list_filter({_TERMS}, lambda p: contains(lower(coalesce(answer, '')), p))) > 0"
 _LEAD = r"lower(regexp_extract(regexp_replace(coalesce(answer, ''), '^\s+|\s+$', '', 'g'), '^((?s:.)*?(?:[.!?](?:\s|[A-Za-z]|$)|\n|$))', 1))"
 _BYLEAD = rf"(len(list_filter({_PHRASES}, lambda p: contains({_LEAD}, p))) > 0 OR (len(list_filter({_PHRASES}, lambda p: contains(lower(coalesce(answer, '')), p))) > 0 AND NOT regexp_matches(lower(coalesce(answer, '')), '\[\d+')))"
-_MARK = lambda most: rf"""flatten(list_transform(flatten(list_transform(regexp_extract_all(coalesce(answer, ''), '\[(\d+(?:\s*[-,]\s*\d+)*)\]', 1), lambda m: string_split(regexp_replace(m, '\s+', '', 'g'), ','))),
- lambda p: CASE WHEN contains(p, '-') THEN range(TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS INT), least(TRY_CAST(regexp_extract(p, '-(\d+)$', 1) AS INT), {most}) + 1) ELSE [TRY_CAST(p AS BIGINT)] END))"""
+_MARK = lambda most: rf"""flatten(list_transform(flatten(list_transform(regexp_extract_all(coalesce(answer, ''), '\[(\d+(?:\s*[-\x{{2013}}\x{{2014}},]\s*\d+)*)\]', 1), lambda m: string_split(regexp_replace(m, '\s+', '', 'g'), ','))),
+ lambda p: CASE WHEN regexp_matches(p, '[-\x{{2013}}\x{{2014}}]') AND TRY_CAST(regexp_extract(p, '[-\x{{2013}}\x{{2014}}](\d+)$', 1) AS BIGINT) > TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS BIGINT)
+  THEN range(TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS BIGINT), least(TRY_CAST(regexp_extract(p, '(\d+)$', 1) AS BIGINT), TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS BIGINT) + {most} - 1) + 1) ELSE [TRY_CAST(regexp_extract(p, '^(\d+)', 1) AS BIGINT)] END))"""
 _LINES = r"regexp_split_to_array(text, '\r\n|\n|\r')"
 _SRC = "lower(trim(source))"
 _TOKS = lambda c: _KB.split("list_concat(", 1)[1].split(", list_concat", 1)[0].replace("text", c, 1)
@@ -404,7 +405,7 @@ x0 AS (SELECT citation, regexp_extract_all(citation, '{_CITE2}', 1) AS rs, regex
 x2 AS (SELECT citation, i, rs[i] AS r, regexp_replace(gs[i], '\s+', '', 'g') AS g FROM x1), x3 AS (SELECT citation, i, unnest({_PREFIX("r", "g")}) AS cand FROM x2)
 SELECT citation, target FROM (SELECT x3.citation, cand AS target, row_number() OVER (PARTITION BY x3.citation, i ORDER BY length(cand) DESC) AS k FROM x3 JOIN v ON v.citation = cand) WHERE k = 1""",
     "citation_markers": f"SELECT DISTINCT answer_id, array_to_string(n, ',') AS markers, len(n) AS n FROM (SELECT answer_id, {_MARK(6)} AS n FROM answers WHERE answer IS NOT NULL)",
-    "refusal_flags": f"SELECT regexp_matches(coalesce(answer, ''), '{A.NO_ANSWER}') AS by_pattern, {_BYLEAD} AS by_lead, coalesce(refused, false) AS refused, count(*) AS n FROM answers GROUP BY ALL",
+    "refusal_flags": f"SELECT regexp_matches(coalesce(answer, ''), '{A.NO_ANSWER}') AS by_pattern, {_BYLEAD} AS by_lead, {_BYTERM} AS by_term, coalesce(refused, false) AS refused, count(*) AS n FROM answers GROUP BY ALL",
     "grounded_answers": f"SELECT DISTINCT a.answer_id, coalesce(k, 0)::INT AS k, len(list_filter({_MARK(50)}, lambda n: n >= 1 AND n <= coalesce(k, 0))) > 0 AND NOT {_BYLEAD} AS grounded FROM (SELECT DISTINCT answer_id, answer FROM answers) a LEFT JOIN (SELECT answer_id, count(DISTINCT chunk_id) AS k FROM answer_passages WHERE chunk_id IS NOT NULL GROUP BY 1) p USING (answer_id)",
     "answer_audit": f"""WITH said AS (SELECT DISTINCT answer_id, {_CKEY("citation")} AS c FROM answer_citations WHERE citation IS NOT NULL AND answer_id IS NOT NULL), have AS (SELECT DISTINCT {_CKEY("citation")} AS c FROM blocks WHERE citation IS NOT NULL),
 listed AS (SELECT DISTINCT chunk_id, {_CKEY("x")} AS c FROM (SELECT chunk_id, unnest(citations) AS x FROM chunks WHERE chunk_id IS NOT NULL) WHERE x IS NOT NULL),

@@ -25,8 +25,13 @@ def kb(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.lit("kb").alias("scope"), F.col("chunk_id").alias("id"), "text", F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " ").alias("heading"), "doc_id", "ordinal")
 
 
+def with_heading(docs: DataFrame) -> DataFrame:
+    """Text and heading as one text."""
+    return docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("heading", F.lit(""))))
+
+
 def rule_chunks(s: SparkSession, d: str) -> DataFrame:
-    rows = R.latest(table(s, d, "chunks").where("deleted_at IS NULL"), "chunk_id", "loaded_at", "text", "rule_title", "rule")
+    rows = R.latest(table(s, d, "chunks"), "chunk_id", "loaded_at", "text", "rule_title", "rule", "deleted_at").where("deleted_at IS NULL")
     return rows.select(F.lit("rules").alias("scope"), F.col("chunk_id").alias("id"), "text", F.coalesce("rule_title", F.lit("")).alias("heading"), "rule")
 
 
@@ -73,17 +78,17 @@ def bm25_feedback(s: SparkSession, d: str) -> DataFrame:
 
 def bm25_by_document(s: SparkSession, d: str) -> DataFrame:
     """Statistics within each rule: the scope is what is searched."""
-    docs = rule_chunks(s, d).where("rule IS NOT NULL").withColumn("scope", F.col("rule")).drop("heading")
+    docs = rule_chunks(s, d).where("rule IS NOT NULL").withColumn("scope", F.col("rule"))
     hits = R.bm25(R.query_terms(asked(s, d)), docs, 1)
     return hits.select("query_id", F.col("scope").alias("rule"), F.col("id").alias("chunk_id"), "score")
 
 
 def char_gram_topk(s: SparkSession, d: str) -> DataFrame:
-    return R.char_grams(asked(s, d), kb(s, d), K).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
+    return R.char_grams(asked(s, d), with_heading(kb(s, d)), K).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
 def _lexical(s: SparkSession, d: str) -> DataFrame:
-    return R.fuse({"bm25": (_bm25(s, d), 1.0), "grams": (R.char_grams(asked(s, d), kb(s, d), POOL), 0.6)}, POOL)
+    return R.fuse({"bm25": (_bm25(s, d), 1.0), "grams": (R.char_grams(asked(s, d), with_heading(kb(s, d)), POOL), 0.6)}, POOL)
 
 
 def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
@@ -153,9 +158,9 @@ def bootstrap_truncation(s: SparkSession, d: str) -> DataFrame:
 
 
 def token_budget(s: SparkSession, d: str) -> DataFrame:
-    """What of the best 24 hits fits 1,024 tokens."""
+    """What of the best 24 hits fits 4,096 tokens."""
     hits = _bm25(s, d).where(F.col("rank") <= 24).join(kb(s, d).select("id", T.estimated_tokens(F.col("text")).alias("n")), "id")
-    return R.budget(hits, "n", 1024).select("query_id", F.col("id").alias("chunk_id"), "rank", "n", "spent")
+    return R.budget(hits, "n", 4096).select("query_id", F.col("id").alias("chunk_id"), "rank", "n", "spent")
 
 
 def neighbour_window(s: SparkSession, d: str) -> DataFrame:
@@ -185,8 +190,9 @@ def _toks(c: str) -> str:
 
 _KB = f"""
 kb0 AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM kb_chunks WHERE chunk_id IS NOT NULL),
-kb AS (SELECT chunk_id AS id, doc_id, ordinal, text, list_concat({_toks("text")}, list_concat({_toks("array_to_string(heading_path, ' ')")}, {_toks("array_to_string(heading_path, ' ')")})) AS toks FROM kb0 WHERE rn = 1),
-rules0 AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL AND deleted_at IS NULL),
+kb AS (SELECT chunk_id AS id, doc_id, ordinal, text, coalesce(array_to_string(heading_path, ' '), '') AS heading, list_concat({_toks("text")}, list_concat({_toks("array_to_string(heading_path, ' ')")}, {_toks("array_to_string(heading_path, ' ')")})) AS toks FROM kb0 WHERE rn = 1),
+rules1 AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST, text DESC NULLS LAST, rule_title DESC NULLS LAST, rule DESC NULLS LAST, deleted_at DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL),
+rules0 AS (SELECT * FROM rules1 WHERE deleted_at IS NULL),
 qt AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, unnest({_toks("query_text")}) AS term FROM eval_queries) GROUP BY ALL)"""
 
 
@@ -208,7 +214,7 @@ def _grams_sql(out: str, pool: int = POOL) -> str:
     return f"""
 {out}_q0 AS (SELECT query_id, g, count(*) AS n FROM (SELECT query_id, unnest({grams("query_text")}) AS g FROM eval_queries) GROUP BY ALL),
 {out}_q AS (SELECT query_id, g, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS w FROM {out}_q0),
-{out}_d0 AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest({grams("text")}) AS g FROM kb) GROUP BY ALL),
+{out}_d0 AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest({grams("text || ' ' || heading")}) AS g FROM kb) GROUP BY ALL),
 {out}_d AS (SELECT id, g, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM {out}_d0),
 {out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(a.w * b.w), 6) AS score FROM {out}_q a JOIN {out}_d b USING (g) GROUP BY ALL) WHERE score > 0) WHERE rank <= {pool})"""
 
@@ -247,7 +253,7 @@ qs AS (SELECT * FROM qt UNION ALL SELECT DISTINCT q.query_id, b.form, 0.5 FROM q
 w AS (SELECT query_id, term, count(*) AS n FROM (SELECT f.query_id, unnest({_toks("kb.text")}) AS term FROM f JOIN kb USING (id) WHERE f.rank <= 5) GROUP BY ALL),
 w2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS r FROM w WHERE NOT EXISTS (SELECT 1 FROM qt z WHERE z.query_id = w.query_id AND z.term = w.term)),
 qs AS (SELECT * FROM qt UNION ALL SELECT query_id, term, 0.3 FROM w2 WHERE r <= 8), {_bm25_sql("b", "qs", "kb")} {_HITS}""",
-    "bm25_by_rule": f"WITH {_KB}, rc AS (SELECT chunk_id AS id, rule, {_toks('text')} AS toks FROM rules0 WHERE rn = 1 AND rule IS NOT NULL), {_bm25_sql('b', 'qt', 'rc', 1, 'rule')} SELECT query_id, sc AS rule, id AS chunk_id, score FROM b",
+    "bm25_by_rule": f"WITH {_KB}, rc AS (SELECT chunk_id AS id, rule, list_concat({_toks('text')}, list_concat({_toks('rule_title')}, {_toks('rule_title')})) AS toks FROM rules0 WHERE rn = 1 AND rule IS NOT NULL), {_bm25_sql('b', 'qt', 'rc', 1, 'rule')} SELECT query_id, sc AS rule, id AS chunk_id, score FROM b",
     "char_gram_topk": f"WITH {_KB}, {_grams_sql('g', K)} SELECT query_id, id AS chunk_id, score, rank FROM g",
     "hybrid_rrf": f"{_LEX} SELECT query_id, id AS chunk_id, score, lane, rank FROM lex WHERE rank <= {K}",
     "hybrid_by_document": f"{_LEX}, x AS (SELECT query_id, doc_id, id, lex.rank, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY lex.rank) AS g FROM lex JOIN kb USING (id)), y AS (SELECT query_id, doc_id, id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM x WHERE g = 1) SELECT * FROM y WHERE rank <= 5",
@@ -271,6 +277,6 @@ SELECT query_id, round(coalesce(found, 0) / relevant, 6) AS recall, round(coales
 c AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(a.rank, 99) <= 1 AND coalesce(b.rank, 99) > 1) AS only_a, count(*) FILTER (WHERE coalesce(a.rank, 99) > 1 AND coalesce(b.rank, 99) <= 1) AS only_b FROM e_r a JOIN f_r b USING (query_id))
 SELECT n, only_a, only_b, CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE round(least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: factorial((only_a + only_b)::INT)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial((only_a + only_b - i)::INT)::DOUBLE))) / pow(2, only_a + only_b)), 6) END AS p_value FROM c""",
     "token_budget": f"""WITH {_KB}, {_bm25_sql("b", "qt", "kb")}, n AS (SELECT id, {_EST("text")} AS n FROM kb),
-t AS (SELECT query_id, id AS chunk_id, rank, n, sum(n) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS spent FROM b JOIN n USING (id) WHERE rank <= 24) SELECT * FROM t WHERE rank = 1 OR spent <= 1024""",
+t AS (SELECT query_id, id AS chunk_id, rank, n, sum(n) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS spent FROM b JOIN n USING (id) WHERE rank <= 24) SELECT * FROM t WHERE rank = 1 OR spent <= 4096""",
     "neighbour_window": f"""WITH {_KB}, w AS (SELECT id, string_agg(text, chr(10) || chr(10)) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t FROM kb) SELECT id AS chunk_id, length(coalesce(t, '')) AS n_chars, md5(coalesce(t, '')) AS hash FROM w""",
 }

@@ -15,7 +15,7 @@ from corpusmill.sources.tables import table
 
 
 def _body(s: SparkSession, d: str) -> DataFrame:
-    rows = R.latest(table(s, d, "blocks").where("kind = 'body' AND deleted_at IS NULL"), "block_id", "loaded_at", "rule", "marker", "depth", "subpath", "text")
+    rows = R.latest(table(s, d, "blocks"), "block_id", "loaded_at", "rule", "marker", "depth", "subpath", "text", "kind", "deleted_at").where("kind = 'body' AND deleted_at IS NULL")
     return rows.withColumn("rule", F.regexp_replace("rule", r"[^0-9.A-Za-z]|(?i:mcr|rule)", "")).withColumn("tokens", T.estimated_tokens(F.col("text")))
 
 
@@ -34,6 +34,12 @@ def markdown_chunks(s: SparkSession, d: str) -> DataFrame:
 def running_headers(s: SparkSession, d: str) -> DataFrame:
     """Pages stand for the chunks of a manual."""
     pages = table(s, d, "kb_chunks").select("doc_id", F.col("ordinal").alias("page"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").distinct()
+    return Q.running_headers(pages)
+
+
+def frequent_edges(s: SparkSession, d: str) -> DataFrame:
+    """First and last lines that a fiftieth of a manual's chunks share."""
+    pages = table(s, d, "kb_chunks").select("doc_id", F.col("ordinal").alias("page"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").distinct()
     return Q.running_headers(pages, 0.02)
 
 
@@ -73,9 +79,9 @@ def canonical_questions(s: SparkSession, d: str) -> DataFrame:
 
 
 def variant_search(s: SparkSession, d: str) -> DataFrame:
-    """Each query in two wordings, as it is and by its gold text's first words, fused by the best score."""
+    """Each query in two wordings, as it is and by its gold text, fused by the best score."""
     q = table(s, d, "eval_queries")
-    words = F.array_join(F.slice(F.split("gold_text", " "), 1, 12), " ")
+    words = F.col("gold_text")
     both = q.select("query_id", F.lit("asked").alias("variant"), "query_text").unionByName(q.select("query_id", F.lit("gold").alias("variant"), words.alias("query_text")))
     keyed = both.withColumn("query_id", F.concat_ws("|", "query_id", "variant"))
     hits = R.bm25(R.query_terms(keyed), kb(s, d), POOL)
@@ -99,16 +105,20 @@ def order_lineage(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("customer_region", "supplier_region").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"), F.countDistinct("o_orderkey").alias("orders"))
 
 
-QUERIES = {f.__name__: f for f in (block_paths, rule_chunks, markdown_chunks, running_headers, stems, distinct_hits, compatible_text, id_remap, rechunked, canonical_questions, variant_search, pricing_summary, order_lineage)}
+QUERIES = {f.__name__: f for f in (block_paths, rule_chunks, markdown_chunks, running_headers, frequent_edges, stems, distinct_hits, compatible_text, id_remap, rechunked, canonical_questions, variant_search, pricing_summary, order_lineage)}
 
 ORACLE = {
-    "variant_search": f"""WITH {_KB}, qv AS (SELECT query_id, 'asked' AS v, query_text AS t FROM eval_queries UNION ALL SELECT query_id, 'gold', array_to_string(string_split(gold_text, ' ')[1:12], ' ') FROM eval_queries),
+    "variant_search": f"""WITH {_KB}, qv AS (SELECT query_id, 'asked' AS v, query_text AS t FROM eval_queries UNION ALL SELECT query_id, 'gold', gold_text FROM eval_queries),
 qx AS (SELECT query_id || '|' || v AS query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, v, unnest({_toks("t")}) AS term FROM qv) GROUP BY ALL), {_bm25_sql("b", "qx", "kb")},
 m AS (SELECT string_split(query_id, '|')[1] AS query_id, id, round(max(score), 9) AS score, count(DISTINCT string_split(query_id, '|')[2]) AS variants FROM b GROUP BY 1, 2)
 SELECT * FROM (SELECT query_id, id AS chunk_id, score, variants, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m) WHERE rank <= 10""",
     "running_headers": r"""WITH p AS (SELECT DISTINCT doc_id, ordinal, text FROM kb_chunks WHERE doc_id IS NOT NULL AND text IS NOT NULL), z AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY 1 HAVING count(*) >= 3),
 l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: regexp_replace(x, '^[\s\x{0B}]+|[\s\x{0B}]+$', '', 'g')), lambda x: x <> '') AS l FROM p),
 e AS (SELECT doc_id, 'first' AS place, l[1] AS line FROM l WHERE len(l) > 0 UNION ALL SELECT doc_id, 'last', l[-1] FROM l WHERE len(l) > 0)
+SELECT doc_id, line, place, count(*) AS n FROM e JOIN z USING (doc_id) WHERE NOT starts_with(line, '#') GROUP BY doc_id, line, place, pages HAVING count(*) >= greatest(2, floor(pages * 0.6))""",
+    "frequent_edges": r"""WITH p AS (SELECT DISTINCT doc_id, ordinal, text FROM kb_chunks WHERE doc_id IS NOT NULL AND text IS NOT NULL), z AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY 1 HAVING count(*) >= 3),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: regexp_replace(x, '^[\s\x{0B}]+|[\s\x{0B}]+$', '', 'g')), lambda x: x <> '') AS l FROM p),
+e AS (SELECT doc_id, 'first' AS place, l[1] AS line FROM l WHERE len(l) > 0 UNION ALL SELECT doc_id, 'last', l[-1] FROM l WHERE len(l) > 0)
 SELECT doc_id, line, place, count(*) AS n FROM e JOIN z USING (doc_id) WHERE NOT starts_with(line, '#') GROUP BY doc_id, line, place, pages HAVING count(*) >= greatest(2, floor(pages * 0.02))""",
     "id_remap": "WITH i AS (SELECT DISTINCT chunk_id, 'c-' || left(sha1(chunk_id), 16) AS new_id FROM chunks WHERE chunk_id IS NOT NULL) SELECT coalesce(new_id, p.chunk_id) AS id, count(*) AS n FROM answer_passages p LEFT JOIN i ON i.chunk_id = p.chunk_id GROUP BY 1",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, round(avg(l_discount), 6) AS discount, count(*) AS n FROM lineitem GROUP BY ALL",

@@ -31,9 +31,11 @@ def publish(df: DataFrame, path: str, version: str) -> None:
     out = fs.create(staged, True)
     out.write(bytearray(version, "utf-8"))
     out.close()
-    pointer = jvm.org.apache.hadoop.fs.Path(where, "CURRENT")
-    fs.delete(pointer, False)
-    fs.rename(staged, pointer)
+    # one step: whoever reads finds the old name or the new one
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(staged), context.makeQualified(jvm.org.apache.hadoop.fs.Path(where, "CURRENT")), options)
 
 
 def upserted(rows: DataFrame, path: str, key: list[str], order: str) -> DataFrame:

@@ -99,6 +99,38 @@ def test_citation_functions(spark):
         assert one(spark, C.relation(F.lit(before))[0]) == name
 
 
+def test_markers_with_dashes_and_ranges_that_fall(spark):
+    text = "[4-10] [3-1] [1\u20133] [2\u20144] [7 - 8, 2] [99999999999] [5-99999999999]"
+    assert one(spark, C.marker_numbers(F.lit(text), F.lit(6))) == [4, 5, 6, 7, 8, 9, 3, 1, 2, 3, 2, 3, 4, 7, 8, 2, 5]
+
+
+def test_chain_is_streamed_and_nulls_and_ties_hold(spark):
+    rows = [(1, 1, "a"), (1, 2, None), (1, 2, "b"), (None, 1, "x"), (2, 5, "z")]
+    got = {(r.u, r.seq, r.hash[:6]) for r in audit.chain(spark.createDataFrame(rows, "u int, n int, body string"), "u", "n", "body").collect()}
+    import hashlib
+
+    h = lambda last, x: hashlib.sha256((last + x).encode()).hexdigest()
+    one_, two = h("", "a"), h(h("", "a"), "")
+    assert got == {(1, 1, one_[:6]), (1, 2, two[:6]), (1, 2, h(two, "b")[:6]), (2, 5, h("", "z")[:6])}
+
+
+def test_publish_replaces_the_name_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (1, 2, 3):
+        sinks.publish(spark.range(n), path, f"v{n}")
+        assert sinks.current(spark, path).count() == n
+    assert not list((tmp_path / "t").glob("_*.tmp"))
+
+
+def test_elements_of_sorted_by_counts(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(9)) for g in "ab" for _ in range(rng.randrange(1, 40))] + [("a", None), ("c", 4)]
+    got = {r.g: (r.n, r.p, r.q, r.max) for r in evaluation.nth_of_sorted(spark.createDataFrame(rows, "g string, v int"), "v", {"p": 0.5, "q": 0.9}, ["g"]).collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (len(v), v[int(0.5 * len(v))], v[int(0.9 * len(v))], v[-1])
+
+
 def test_canonical_citations():
     rules = frozenset({"5.743b"})
     cases = {"2.116(C)(10)": "MCR 2.116(C)(10)", "what is Rule 2.116?": "what is MCR 2.116?", "mcr 2.116c10": "MCR 2.116(C)(10)", "see mcr 5.743b": "see MCR 5.743b", "(2.116) no": "( MCR 2.116) no", "nothing": "nothing", "MCR 2.116 (C) (10) now": "MCR 2.116(C)(10) now"}
@@ -198,7 +230,7 @@ def test_paths(spark):
     rows = [("1.1", "b1", "A", 1), ("1.1", "b2", None, 2), ("1.1", "b3", "1", 2), ("1.1", "b4", "2", 2), ("1.1", "b5", None, 2), ("1.1", "b6", "B", 1), ("1.1", "b7", "1", 1), ("1.1", "b8", "D", 1), ("2.2", "b9", "a", 1), (None, "c", "a", 1), ("2.2", "d", None, None)]
     df = spark.createDataFrame(rows, "rule string, block_id string, marker string, depth int")
     got = {r.block_id: (r.subpath, r.problem) for r in Q.assign_paths(df).collect()}
-    assert got == {"b1": ("(A)", ""), "b2": ("(A)", ""), "b3": ("(A)(1)", ""), "b4": ("(A)(2)", ""), "b5": ("(A)", ""), "b6": ("(B)", ""), "b7": ("(B)(1)", "indent override"), "b8": ("(D)", "sequence break"), "b9": ("(a)", ""), "d": ("(a)", "")}
+    assert got == {"b1": ("(A)", ""), "b2": ("(A)", ""), "b3": ("(A)(1)", ""), "b4": ("(A)(2)", ""), "b5": ("(A)", ""), "b6": ("(B)", ""), "b7": ("(B)(1)", "one level further in than it stands"), "b8": ("(D)", "out of sequence"), "b9": ("(a)", ""), "d": ("(a)", "")}
     assert Q.may_follow("z") == {"aa"} and Q.may_follow("aa") == {"bb"} and Q.may_follow("ii") == {"iii", "jj"} and Q.may_follow("9") == {"10"}
 
 
