@@ -84,86 +84,124 @@ def _grams(text: str) -> dict[str, int]:
     return out
 
 
-def _best_of_block(scores: np.ndarray, ids: list, query_ids: list, pool: int, decimals: int, names: list[str]) -> pa.RecordBatch:
-    """Of a block of (documents x queries) scores each query's positive best, ties by id, as a batch."""
-    scores = np.round(scores, decimals)
-    order = np.argsort(np.array(ids, dtype=object).astype(str), kind="stable") if isinstance(ids[0], str) else np.argsort(np.array(ids), kind="stable")
-    q, d, s = [], [], []
-    for j, query in enumerate(query_ids):
-        col = scores[order, j]
-        best = np.argsort(-col, kind="stable")[:pool]
-        best = best[col[best] > 0]
-        q += [query] * len(best)
-        d += [ids[order[i]] for i in best.tolist()]
-        s += col[best].tolist()
-    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(s, pa.float64())], names=names)
+class Best:
+    """Of each query the best `pool` positive scores among all documents of a task, ties by id; at most pool x queries are held."""
+
+    def __init__(self, query_ids: list, pool: int, decimals: int):
+        self.query_ids, self.pool, self.decimals = query_ids, pool, decimals
+        self.held: list[tuple[list, list]] = [([], []) for _ in query_ids]
+
+    def add(self, scores: np.ndarray, ids: list) -> None:
+        """A block of (documents x queries) scores."""
+        scores = np.round(scores, self.decimals)
+        order = np.argsort(np.array(ids, dtype=object).astype(str), kind="stable") if isinstance(ids[0], str) else np.argsort(np.array(ids), kind="stable")
+        for j, (had, named) in enumerate(self.held):
+            col = scores[order, j]
+            least = had[-1] if len(had) == self.pool else 0.0
+            some = np.flatnonzero((col >= least) & (col > 0))
+            if not len(some):
+                continue
+            some = some[np.argsort(-col[some], kind="stable")[: self.pool]]
+            both = sorted(zip([*had, *col[some].tolist()], [*named, *(ids[order[i]] for i in some.tolist())], strict=True), key=lambda x: (-x[0], x[1]))[: self.pool]
+            self.held[j] = [x[0] for x in both], [x[1] for x in both]
+
+    def rows(self, names: list[str]) -> pa.RecordBatch:
+        q = [query for query, (had, _) in zip(self.query_ids, self.held, strict=True) for _ in had]
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array([i for _, ids in self.held for i in ids]), pa.array([x for had, _ in self.held for x in had], pa.float64())], names=names)
+
+
+HIT = ["query_id", "id", "score"]
+
+
+def _in_blocks(asked: list, width: int) -> list[list]:
+    """Queries in parts whose matrices have at most BROADCAST_CELLS numbers."""
+    n = max(1, BROADCAST_CELLS // max(1, width))
+    return [asked[at : at + n] for at in range(0, len(asked), n)] or [[]]
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def char_grams(queries: DataFrame, docs: DataFrame, pool: int, text: str = "query_text", decimals: int = 6) -> DataFrame:
     """(query_id, id, score, rank) by the cosine of bags of character trigrams over [a-z0-9].
 
-    The queries' matrix is broadcast (its size is checked); a block of documents is scored by one product, and only
-    its best of each query leave the task.
+    Queries are broadcast in blocks of bounded size; documents are scored by products of matrices, a thousand at a time,
+    and of each query only its best leave a task.
     """
     asked = [(r["query_id"], _grams(r[text] or "")) for r in queries.select("query_id", text).orderBy("query_id").collect()]
-    column = {g: i for i, g in enumerate(sorted({g for _, grams in asked for g in grams}))}
-    if len(column) * max(1, len(asked)) > BROADCAST_CELLS:
-        raise ValueError("too many queries for one matrix; pass them in blocks")
-    matrix = np.zeros((len(column), len(asked)))
-    for j, (_, grams) in enumerate(asked):
-        norm = sum(n * n for n in grams.values()) ** 0.5
-        for g, n in grams.items():
-            matrix[column[g], j] = n / norm
-    held = queries.sparkSession.sparkContext.broadcast(([q for q, _ in asked], column, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, column, matrix = held.value
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                x = np.zeros((part.num_rows, len(column)))
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    grams = _grams(t or "")
-                    norm = sum(n * n for n in grams.values()) ** 0.5
-                    for g, n in grams.items():
-                        if g in column:
-                            x[i, column[g]] = n / norm
-                yield _best_of_block(x @ matrix, part.column(0).to_pylist(), query_ids, pool, decimals, ["query_id", "id", "score"])
-
     ids = docs.schema["id"].dataType.simpleString()
-    return top(docs.select("id", "text").mapInArrow(run, f"query_id string, id {ids}, score double"), pool)
+    name = queries.schema["query_id"].dataType.simpleString()
+
+    def lane(part: list) -> DataFrame:
+        column = {g: i for i, g in enumerate(sorted({g for _, grams in part for g in grams}))}
+        matrix = np.zeros((len(column), len(part)))
+        for j, (_, grams) in enumerate(part):
+            norm = sum(n * n for n in grams.values()) ** 0.5
+            for g, n in grams.items():
+                matrix[column[g], j] = n / norm
+        held = queries.sparkSession.sparkContext.broadcast(([q for q, _ in part], column, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, column, matrix = held.value
+            best = Best(query_ids, pool, decimals)
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000)
+                    x = np.zeros((part.num_rows, len(column)))
+                    for i, t in enumerate(part.column(1).to_pylist()):
+                        grams = _grams(t or "")
+                        norm = sum(n * n for n in grams.values()) ** 0.5
+                        for g, n in grams.items():
+                            if g in column:
+                                x[i, column[g]] = n / norm
+                    best.add(x @ matrix, part.column(0).to_pylist())
+            if any(had for had, _ in best.held):
+                yield best.rows(HIT)
+
+        return docs.select("id", "text").mapInArrow(run, f"query_id {name}, id {ids}, score double")
+
+    # trigrams over 37 characters: no more columns than these
+    return top(_united([lane(p) for p in _in_blocks(asked, min(37**3, 50 * max(1, max((len(g) for _, g in asked), default=1)))) ]), pool)
 
 
 def dense(queries: DataFrame, vectors: DataFrame, pool: int, dims: int | None = None, decimals: int = 6) -> DataFrame:
     """(query_id, id, score, rank) by cosine. queries (query_id, vector), vectors (id, vector): arrays of one length.
 
     dims: only the first so many numbers count (then normalised again). Null vectors, those of another length or of
-    length zero take no part; a query without a vector has no rows. Positive scores only.
+    length zero take no part; a query without a vector has no rows. Positive scores only. Queries are broadcast in
+    blocks of bounded size.
     """
     asked = queries.where("vector IS NOT NULL").select("query_id", "vector").orderBy("query_id").collect()
     wide = max((len(r["vector"]) for r in asked), default=0)
     use = min(dims or wide, wide)
     asked = [r for r in asked if len(r["vector"]) == wide and np.isfinite(np.array(r["vector"], dtype=float)).all()]
-    if wide * len(asked) > BROADCAST_CELLS:
-        raise ValueError("too many queries for one matrix; pass them in blocks")
-    matrix = np.array([r["vector"][:use] for r in asked], dtype=np.float64).reshape(len(asked), use)
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0).T
-    held = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = held.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)[:, :use]
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-            yield _best_of_block(x @ matrix, b.column(0).to_pylist(), query_ids, pool, decimals, ["query_id", "id", "score"])
-
     good = vectors.where(F.expr(f"vector IS NOT NULL AND size(vector) = {wide} AND NOT exists(vector, x -> x IS NULL OR isnan(x))")).select("id", "vector")
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    return top(good.mapInArrow(run, f"query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, score double"), pool)
+
+    def lane(part: list) -> DataFrame:
+        matrix = np.array([r["vector"][:use] for r in part], dtype=np.float64).reshape(len(part), use)
+        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+        held = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in part], np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0).T))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, matrix = held.value
+            best = Best(query_ids, pool, decimals)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)[:, :use]
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                best.add(np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ matrix, b.column(0).to_pylist())
+            if any(had for had, _ in best.held):
+                yield best.rows(HIT)
+
+        return good.mapInArrow(run, f"query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, score double")
+
+    return top(_united([lane(p) for p in _in_blocks(asked, use)]), pool)
 
 
 def fuse(lanes: dict[str, tuple[DataFrame, float]], pool: int, k: int = 60, decimals: int = 9) -> DataFrame:
