@@ -36,9 +36,10 @@ def top(scores: DataFrame, pool: int, *also: str) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= pool)
 
 
-def bm25(terms: DataFrame, docs: DataFrame, pool: int, k1: float = 1.5, b: float = 0.75, heading_boost: int = 2, decimals: int = 6) -> DataFrame:
+def bm25(terms: DataFrame, docs: DataFrame, pool: int, k1: float = 1.5, b: float = 0.75, heading_boost: int = 2, decimals: int = 6, vocabulary=None) -> DataFrame:
     """(query_id, id, score, rank) by BM25 over docs (scope, id, text, heading array or absent); statistics are per scope.
 
+    vocabulary, if given, makes (term, stem) of a table of the distinct words (term), and stems are what is compared.
     Headings count heading_boost times. Only postings of query terms are kept, so a posting moves once, for its
     document's score; document frequencies are counted among them.
     """
@@ -50,6 +51,9 @@ def bm25(terms: DataFrame, docs: DataFrame, pool: int, k1: float = 1.5, b: float
     sized = analysed.select("scope", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     stats = analysed.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     asked = terms.select("term").distinct()
+    if vocabulary is not None:
+        known = vocabulary(sized.select("term").distinct())
+        sized = sized.join(known.select("term", "stem"), "term").drop("term").withColumnRenamed("stem", "term")
     postings = sized.join(asked, "term").groupBy("scope", "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
     weights = df.join(stats, "scope").select("scope", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
