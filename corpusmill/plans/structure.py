@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corpusmill.functions import citations as C
 from corpusmill.functions import stem as S
 from corpusmill.functions import text as T
+from corpusmill.operators import layout as L
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import structure as Q
 from corpusmill.plans.retrieval import _KB, POOL, _bm25_sql, _toks, asked, kb
@@ -105,9 +107,24 @@ def order_lineage(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("customer_region", "supplier_region").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"), F.countDistinct("o_orderkey").alias("orders"))
 
 
-QUERIES = {f.__name__: f for f in (block_paths, rule_chunks, markdown_chunks, running_headers, frequent_edges, stems, distinct_hits, compatible_text, id_remap, rechunked, canonical_questions, variant_search, pricing_summary, order_lineage)}
+def parsed_lines(s: SparkSession, d: str) -> DataFrame:
+    """Blocks set as lines of a page, by type and indent, and parsed back: how many of each kind, depth and marker."""
+    rows = R.latest(table(s, d, "blocks"), "block_id", "loaded_at", "kind", "chapter", "depth", "marker", "text").where("text RLIKE '[A-Za-z]' AND chapter IS NOT NULL AND kind IN ('chapter', 'rule', 'body')").where(F.col("marker").isNull() | F.col("marker").rlike(rf"^{L.LABEL}$"))
+    flat = F.regexp_replace(F.regexp_replace("text", r"[\s\p{Z}]+", " "), r"^[ (]+", "")
+    c = F.col("kind")
+    text = F.when(c == "rule", F.concat(F.lit("Rule 1.100 "), flat)).when((c == "body") & F.col("marker").isNotNull(), F.concat("marker", F.lit(" "), flat)).otherwise(flat)
+    place = F.row_number().over(W.partitionBy("chapter").orderBy("block_id"))
+    x = F.element_at(F.array(*[F.lit(v) for v in (72.0, 93.6, 115.2, 136.8, 158.4)]), F.when(c == "body", F.greatest(F.least(F.coalesce("depth", F.lit(0)), F.lit(4)), F.lit(0)) + 1).otherwise(1))
+    lines = rows.select(F.col("chapter").alias("doc_id"), F.lit(1).alias("page"), place.alias("line"), (place * 20.0).alias("y"), x.alias("x"), F.when(c == "chapter", 18.0).otherwise(12.0).alias("size"), (c != "body").alias("bold"), text.alias("text"))
+    return L.blocks_from_lines(lines).groupBy(F.col("doc_id").alias("chapter"), "kind", "depth", "marker").agg(F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("text", " ", ""))).alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (block_paths, parsed_lines, rule_chunks, markdown_chunks, running_headers, frequent_edges, stems, distinct_hits, compatible_text, id_remap, rechunked, canonical_questions, variant_search, pricing_summary, order_lineage)}
 
 ORACLE = {
+    "parsed_lines": r"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC NULLS LAST, kind DESC NULLS LAST, chapter DESC NULLS LAST, depth DESC NULLS LAST, marker DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM blocks WHERE block_id IS NOT NULL),
+x AS (SELECT chapter, kind, CASE WHEN kind = 'body' THEN least(coalesce(depth, 0), 4) ELSE 0 END AS depth, marker, regexp_replace(regexp_replace(text, '[\s\x{0B}\pZ]+', ' ', 'g'), '^[ (]+', '') AS t FROM b WHERE rn = 1 AND regexp_matches(text, '[A-Za-z]') AND chapter IS NOT NULL AND kind IN ('chapter', 'rule', 'body') AND (marker IS NULL OR regexp_matches(marker, '^\((?:[A-Z]{1,2}|[a-z]{1,2}|\d{1,2}|[ivxl]{1,6})\)$')))
+SELECT chapter, kind, depth, CASE WHEN kind = 'body' AND depth >= 1 THEN regexp_replace(marker, '[()]', '', 'g') END AS marker, count(*) AS n, sum(length(replace(CASE WHEN kind = 'rule' THEN 'Rule1.100' WHEN kind = 'body' AND marker IS NOT NULL THEN marker ELSE '' END || t, ' ', '')))::BIGINT AS chars FROM x GROUP BY ALL""",
     "variant_search": f"""WITH {_KB}, qv AS (SELECT query_id, 'asked' AS v, query_text AS t FROM eval_queries UNION ALL SELECT query_id, 'gold', gold_text FROM eval_queries),
 qx AS (SELECT query_id || '|' || v AS query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, v, unnest({_toks("t")}) AS term FROM qv) GROUP BY ALL), {_bm25_sql("b", "qx", "kb")},
 m AS (SELECT string_split(query_id, '|')[1] AS query_id, id, round(max(score), 9) AS score, count(DISTINCT string_split(query_id, '|')[2]) AS variants FROM b GROUP BY 1, 2)
