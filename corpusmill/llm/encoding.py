@@ -407,7 +407,6 @@ def damaged_tokens(tokens: DataFrame, rounds: int = 12) -> DataFrame:
     todo = tokens.where("NOT sound").select("token", "kind", F.expr(f"CAST(array() AS {ANSWERS})").alias("answers"))
     done = swapped.select("token", F.explode(F.array(F.lit("a"), F.lit("9"))).alias("kind"), "fixed", F.lit(True).alias("whole"))
     for k in range(rounds):
-        todo = materialise(todo, "unsettled")
         out = materialise(todo.mapInArrow(settle, "token string, kind string, fixed string, layers int, whole boolean, asked array<string>"), "settled")
         last = k == rounds - 1  # layers are at most four, so it never asks that often
         done = done.unionByName(out.where(F.lit(last) | (F.size("asked") == 0)).where("layers > 0").select("token", "kind", "fixed", "whole"))

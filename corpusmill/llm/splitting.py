@@ -6,7 +6,8 @@ words in a block before a boundary are compared with those in a block after it,
 change of topic, and of the boundaries a piece may end at the one with the deepest valley is taken. Each piece but the
 first then repeats the last `overlap` characters of the piece before.
 
-All work is on one row at a time, so the operator is a single pass over the scan without a shuffle.
+All work is on one row at a time. Only texts over the limit leave the scan; they are shuffled once, so that repeated rows
+come out once.
 """
 
 from __future__ import annotations
