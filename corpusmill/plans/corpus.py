@@ -23,8 +23,9 @@ def clean_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def dehyphenated(s: SparkSession, d: str) -> DataFrame:
-    c = T.dehyphenate(F.col("text"))
-    return table(s, d, "documents").where(F.col("text") != c).select("doc_id", F.md5(c).alias("hash"))
+    """Texts whose long words are broken over lines, as a narrow column would, and joined again. (The texts as they are have none.)"""
+    narrow = F.regexp_replace("text", r"([a-z]{4})([a-z]{4})", "$1-\n$2")
+    return table(s, d, "documents").select("doc_id", narrow.alias("n"), T.dehyphenate(narrow).alias("c")).where("n <> c").select("doc_id", F.md5("c").alias("hash"))
 
 
 def page_quality(s: SparkSession, d: str) -> DataFrame:
@@ -288,7 +289,8 @@ def page_of_line(s: SparkSession, d: str) -> DataFrame:
 
 
 def query_classes(s: SparkSession, d: str) -> DataFrame:
-    q = F.coalesce("question", F.lit(""))
+    """What questions, and the lines of documents as if they were asked, are looking for."""
+    q = F.col("q")
     kind = (
         F.when(q.rlike(r'"[^"]{2,}"|“[^”]{2,}”'), "quoted")
         .when(q.rlike(r"(?i)\b\d{1,2}\s*U\.?\s*S\.?\s*C\.?\s*§?\s*\d{1,5}[a-z]?\b"), "usc")
@@ -297,17 +299,8 @@ def query_classes(s: SparkSession, d: str) -> DataFrame:
         .when(q.rlike(r"\b[A-Z]{2,}[_\-]?\d{4,}(?:[_\-]\d+)*\b"), "bates")
         .otherwise("loose")
     )
-    return table(s, d, "answers").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
-def routed_citations(s: SparkSession, d: str) -> DataFrame:
-    """Questions that name a citation: the first chunk that lists it, or else its bare rule."""
-    rows = table(s, d, "answers").where("question IS NOT NULL").select("answer_id", "question").distinct()
-    cited = rows.select("answer_id", F.regexp_extract("question", C.CITE, 1).alias("rule"), F.regexp_replace(F.regexp_extract("question", C.CITE, 2), r"\s+", "").alias("groups")).where("rule <> ''")
-    want = cited.select("answer_id", F.posexplode(F.array_distinct(F.array(F.concat(F.lit("MCR "), "rule", "groups"), F.concat(F.lit("MCR "), "rule")))).alias("step", "citation"))
-    first = table(s, d, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", F.explode("citations").alias("citation")).groupBy("citation").agg(F.min("chunk_id").alias("chunk_id"))
-    best = want.join(first, "citation").groupBy("answer_id").agg(F.min(F.struct("step", "citation", "chunk_id")).alias("b"))
-    return best.select("answer_id", F.col("b.citation").alias("citation"), F.col("b.chunk_id").alias("chunk_id"))
+    rows = table(s, d, "answers").select(F.lit("question").alias("origin"), F.coalesce("question", F.lit("")).alias("q")).unionByName(table(s, d, "documents").select(F.lit("line").alias("origin"), F.explode(F.split("text", r"\r\n|\n|\r")).alias("q")))
+    return rows.groupBy("origin", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def by_document(s: SparkSession, d: str) -> DataFrame:
@@ -323,7 +316,7 @@ QUERIES = {
     for f in (
         clean_text, dehyphenated, page_quality, document_quality, answer_overlap, guessed_language, summaries, key_phrases, layout_signatures, xref_mentions, xref_edges, xref_inbound, graph_expand, citation_prefixes,
         citation_markers, refusal_flags, grounded_answers, answer_audit, provenance, stale_hashes, audit_chain, audit_chain_check, querylog_stats, latency_percentiles, facet_counts, twin_groups, chunk_stats, coverage,
-        rule_reconcile, missing_vectors, latest_feedback, stratified_pick, representatives, size_bands, sessions, hourly_log, newest_of_rule, line_matches, page_of_line, query_classes, routed_citations, by_document,
+        rule_reconcile, missing_vectors, latest_feedback, stratified_pick, representatives, size_bands, sessions, hourly_log, newest_of_rule, line_matches, page_of_line, query_classes, by_document,
     )
 }
 
@@ -378,7 +371,7 @@ _TOKS = lambda c: _KB.split("list_concat(", 1)[1].split(", list_concat", 1)[0].r
 
 ORACLE = {
     "clean_text": f"SELECT doc_id, length(c) AS n_chars, md5(c) AS hash FROM (SELECT doc_id, {_clean_sql('''coalesce(text, '')''')} AS c FROM documents)",
-    "dehyphenated": r"SELECT doc_id, md5(c) AS hash FROM (SELECT doc_id, text, regexp_replace(text, '([A-Za-z])-\s*\n\s*([a-z])', '\1\2', 'g') AS c FROM documents) WHERE text <> c",
+    "dehyphenated": r"WITH n AS (SELECT doc_id, regexp_replace(text, '([a-z]{4})([a-z]{4})', '\1-' || chr(10) || '\2', 'g') AS n FROM documents) SELECT doc_id, md5(c) AS hash FROM (SELECT doc_id, n, regexp_replace(n, '([A-Za-z])-\s*\n\s*([a-z])', '\1\2', 'g') AS c FROM n) WHERE n <> c",
     "page_quality": _Q + " SELECT doc_id, length(t) AS chars, array_to_string(list_filter([CASE WHEN length(t) < 1 THEN 'empty_page' END, CASE WHEN g THEN 'garbled_text' END], lambda x: x IS NOT NULL), ',') AS reasons FROM q",
     "document_quality": _Q + " SELECT source, count(*) AS n, count(*) FILTER (WHERE g) AS flagged, round(1 - count(*) FILTER (WHERE g) / count(*), 4) AS score, CASE WHEN count(*) FILTER (WHERE g) = 0 THEN 'clean' WHEN count(*) FILTER (WHERE g) = count(*) THEN 'rejected' ELSE 'partial' END AS status FROM q GROUP BY source",
     "answer_overlap": "SELECT DISTINCT answer_id, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6) AS overlap FROM (SELECT answer_id, list_distinct(regexp_extract_all(lower(coalesce(question, '')), '[0-9a-z]+')) AS x, list_distinct(regexp_extract_all(lower(coalesce(answer, '')), '[0-9a-z]+')) AS y FROM answers)",
@@ -436,11 +429,7 @@ c AS (SELECT user_id, event_id, n, sha256(body) AS hash FROM e WHERE n = 1 UNION
     "line_matches": rf"SELECT doc_id, count(*) AS hits, round(count(*) / (count(*) + 1.5) + least(count(*), 50) * 1e-4, 6) AS score FROM (SELECT doc_id, unnest({_LINES}) AS line FROM documents) WHERE regexp_matches(line, '\b\d{{1,4}}[A-Z]{{0,2}}-\d{{1,4}}(?:\.\d+)?\b') GROUP BY doc_id",
     "page_of_line": rf"SELECT doc_id, len({_LINES}) - 1 AS last_line, TRY_CAST(p[len(p)] AS INT) AS page, len(list_distinct(p)) AS pages FROM (SELECT doc_id, text, regexp_extract_all(text, '<!-- page: (\d+) -->', 1) AS p FROM documents WHERE text IS NOT NULL)",
     "query_classes": r"""SELECT CASE WHEN regexp_matches(q, '"[^"]{2,}"|“[^”]{2,}”') THEN 'quoted' WHEN regexp_matches(q, '(?i)\b\d{1,2}\s*U\.?\s*S\.?\s*C\.?\s*§?\s*\d{1,5}[a-z]?\b') THEN 'usc' WHEN regexp_matches(q, '(?i)\b\d{1,2}\s*C\.?\s*F\.?\s*R\.?\s*§?\s*\d{1,5}(?:\.\d+)?\b') THEN 'cfr'
- WHEN regexp_matches(q, '\b\d{1,4}[A-Z]{0,2}-\d{1,4}(?:\.\d+)?\b') THEN 'statute' WHEN regexp_matches(q, '\b[A-Z]{2,}[_\-]?\d{4,}(?:[_\-]\d+)*\b') THEN 'bates' ELSE 'loose' END AS kind, count(*) AS n FROM (SELECT coalesce(question, '') AS q FROM answers) GROUP BY 1""",
-    "routed_citations": rf"""WITH c AS (SELECT DISTINCT answer_id, regexp_extract(question, '{_CITE2}', 1) AS r, regexp_replace(regexp_extract(question, '{_CITE2}', 2), '\s+', '', 'g') AS g FROM answers WHERE question IS NOT NULL),
-w AS (SELECT answer_id, 0 AS step, 'MCR ' || r || g AS citation FROM c WHERE r <> '' UNION SELECT answer_id, 1, 'MCR ' || r FROM c WHERE r <> ''),
-f AS (SELECT citation, min(chunk_id) AS chunk_id FROM (SELECT chunk_id, unnest(citations) AS citation FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY 1)
-SELECT answer_id, citation, chunk_id FROM (SELECT answer_id, citation, chunk_id, row_number() OVER (PARTITION BY answer_id ORDER BY step, citation) AS k FROM w JOIN f USING (citation)) WHERE k = 1""",
+ WHEN regexp_matches(q, '\b\d{1,4}[A-Z]{0,2}-\d{1,4}(?:\.\d+)?\b') THEN 'statute' WHEN regexp_matches(q, '\b[A-Z]{2,}[_\-]?\d{4,}(?:[_\-]\d+)*\b') THEN 'bates' ELSE 'loose' END AS kind, origin, count(*) AS n FROM (SELECT 'question' AS origin, coalesce(question, '') AS q FROM answers UNION ALL SELECT 'line', unnest(regexp_split_to_array(text, '\r\n|\n|\r')) FROM documents) GROUP BY ALL""",
     "by_document": f"""WITH {_KB}, {_bm25_sql("b", "qt", "kb", 8)}, g AS (SELECT query_id, doc_id, min(rank) AS first_rank, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS t FROM b JOIN kb USING (id) GROUP BY ALL)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS place, md5(t) AS hash FROM g""",
 }
