@@ -23,7 +23,6 @@ CHAPTER_SIZE, SUBCHAPTER_SIZE = 17.0, 13.0
 RULE = r"^Rule\s+\d+\.\d+[A-Z]?\b"
 SUBCHAPTER = r"^Subchapter\s+\d+\.\d+"
 LABEL = r"\((?:[A-Z]{1,2}|[a-z]{1,2}|\d{1,2}|[ivxl]{1,6})\)"
-HEADINGS = ("chapter", "subchapter", "rule")
 
 
 def kind_of_line(bold: Column, size: Column, x: Column, text: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql.window import Window as W
 
 from corpusmill.functions import citations as C
 from corpusmill.functions import stem as S
-from corpusmill.functions import text as T
 from corpusmill.operators import retrieval as R
 
 CLAUSES = types.ArrayType(types.ArrayType(types.StructType([types.StructField("neg", types.BooleanType()), types.StructField("phrase", types.StringType())])))
