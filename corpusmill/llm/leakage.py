@@ -87,13 +87,13 @@ class Item:
 
 
 class Grams:
-    """The q-grams of some items, sorted by hash, with item and position; and a table that tells most others at once."""
+    """The q-grams of some items: distinct hashes, items and positions sorted by them; and a table that tells most others at once."""
 
     def __init__(self, q: int, found: list[tuple[int, np.ndarray]]):
         self.q = q
         every = np.concatenate([h for _, h in found])
         order = np.argsort(every, kind="stable")
-        self.hashes = every[order]
+        self.hashes, self.begin, self.times = np.unique(every[order], return_index=True, return_counts=True)
         self.owner = np.concatenate([np.full(len(h), i) for i, h in found])[order]
         self.place = np.concatenate([np.arange(len(h)) for _, h in found])[order]
         self.shift = np.uint64(64 - max(16, int(len(every)).bit_length() + 4))
@@ -154,16 +154,14 @@ class Index:
         self.ids, self.word_of = column(lambda i: i.ids), column(lambda i: i.word_of)
         self.first, self.last, self.budgets = column(lambda i: i.first), column(lambda i: i.last), column(lambda i: i.budgets)
 
-    def bands(self, grams: Grams, doc: np.ndarray, at: np.ndarray, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def bands(self, grams: Grams, doc: np.ndarray, at: np.ndarray, which: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, least and greatest shift in words) of the bands of diagonals that meet the bound of a stretch.
 
-        doc, at, h, word: of q-grams of documents their document, place, hash and word.
+        doc, at, which, word: of q-grams of documents their document, place, number among the distinct hashes, and word.
         """
         none = (np.empty(0, dtype=np.int64),) * 4
-        lo, hi = np.searchsorted(grams.hashes, h, "left"), np.searchsorted(grams.hashes, h, "right")
-        n = hi - lo
-        _, row, k = _flat(n)
-        entry = lo[row] + k
+        _, row, k = _flat(grams.times[which])
+        entry = grams.begin[which][row] + k
         item, place = grams.owner[entry], grams.place[entry]
         doc, at, word = doc[row], at[row], word[row]
         pair = doc * len(self.items) + item
@@ -257,10 +255,13 @@ class Index:
             doc = np.searchsorted(ends, hit, "right")
             inside = hit + grams.q < ends[doc]
             hit, doc = hit[inside], doc[inside]
+            which = np.minimum(np.searchsorted(grams.hashes, h[hit]), len(grams.hashes) - 1)
+            real = grams.hashes[which] == h[hit]
+            hit, doc, which = hit[real], doc[real], which[real]
             if not len(hit):
                 continue
             word = blanks[hit] - blanks[begin[doc]]
-            d, item, low, high = self.bands(grams, doc, hit - begin[doc], h[hit], word)
+            d, item, low, high = self.bands(grams, doc, hit - begin[doc], which, word)
             if not len(d):
                 continue
             # an alignment covers WIDTH diagonals to either side: as many of them as cover the band
