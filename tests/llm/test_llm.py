@@ -114,6 +114,49 @@ def test_declining_is_learned_without_the_phrase():
     assert sum(said[: len(fresh)]) >= len(fresh) - 1 and not any(said[len(fresh) :])
 
 
+def test_pairs_learn_from_every_row(spark):
+    """Sound answers in words that only rows with the highest hashes of their id hold are learned too."""
+    ids = [r[0] for r in spark.range(12_000).selectExpr("concat('a', id) AS id").orderBy(F.xxhash64("id").desc()).collect()]
+    sound = ["The bailiff keeps those ledgers.", "Nobody may lend such ledgers.", "Bailiffs never lend any information."]
+    no = ["I cannot help with that matter.", "The sources say nothing about this."]
+    long = "Unless the motion was filed, the clerk must serve {} copies for the court within ten days."
+    text = lambda i: sound[i % 3] if i < 900 else no[i // 30 % 2] if i % 30 == 0 else long.format(i % 90)
+    rows = [(x, "Who serves the motion?", text(i), T0, text(i) in no and i % 7 > 0, None) for i, x in enumerate(ids)]
+    got = {tuple(r) for r in pairs.defective_pairs(spark.createDataFrame(rows, ANSWERS)).collect()}
+    assert got == {(x, "refusal") for i, x in enumerate(ids) if text(i) in no}
+
+
+def test_pairs_models_of_any_partitions(spark):
+    """The models fitted over partitions are those fitted in one piece."""
+    rows = [(f"The {a} must {b} the {c}{n}.", "Who files it?", r) for a in ("clerk", "court", "party") for b in ("file", "serve", "sign") for c in ("order", "motion") for n, r in (("", False), (" 3", None), (" within 2 days. 7.", True))]
+    rows += [("I cannot help with that matter.", "¿Quién presenta la orden?", i % 3 > 0) for i in range(9)] + [("El tribunal debe resolver. 9.", None, True), ("I must decline to answer that. 12.", "", None), (None, "Why?", True), (" ", None, False)] * 3
+    rows = rows * 8
+    declining = pairs.fit_declining(pairs.Tokens(pairs.seed_language()), [(a, r) for a, _, r in rows])
+    language = pairs.fit_language([x for r in rows for x in r[:2] if x])
+    keys, n = pairs.context_keys([a for a, _, _ in rows])
+    for parts in (1, 5):
+        df = spark.createDataFrame([(q, a, r) for a, q, r in rows], "question string, answer string, refused boolean").repartition(parts)
+        found = df.mapInArrow(pairs.evidence, pairs.EVIDENCE)
+        one, other = pairs.language_of_all(found), pairs.declining_of_all(found)
+        assert (one.table == language.table).all() and (one.row == language.row).all() and (one.prior == language.prior).all() and (other.odds == declining.odds).all()
+        got = pairs.summed(found.where("kind = 'context'"), "key", ["a", "b", "c"])
+        assert (got[0] == keys).all() and (got[1] == n).all()
+
+
+def test_seed_keeps_its_weight():
+    """More texts of the same kinds don't make short sound answers decline."""
+    who = ["mediator", "court", "agency", "coordinator", "administrator", "clerk", "evaluator", "referee", "examiner", "supervisor", "magistrate", "interpreter"]
+    no = ["The sources are silent on this.", "I cannot help with that matter.", "This is not covered by the rules supplied.", "I must decline to answer that; the rules given say nothing about it."]
+    rows = [(f"No; the {w} decides that.", i == 0) for w in who for i in range(5)] + [(t, i % 4 > 0) for t in no for i in range(70)]
+    rows += [(f"The {w} must file the order within {i} days. The rule is MCR 3.{i}.", False) for w in who for i in range(400)]
+    tokens = pairs.Tokens(pairs.seed_language())
+    counts, undecided = pairs.declining_counts(tokens.sentences([t for t, _ in rows]), np.array([1 if r else -1 for _, r in rows], dtype=np.int8))
+    s = tokens.sentences([f"No; the {w} decides that." for w in who] + no)
+    for times in (1, 20, 1000):
+        model = pairs.learn_declining(counts * times, lambda m, n=times: undecided.rates(m) * n, lambda m, told, n=times: undecided.weights(m, told) * n)
+        assert model.refusals(s, len(who + no)).tolist() == [False] * len(who) + [True] * len(no)
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
