@@ -74,7 +74,7 @@ def stemmed_bm25(queries: DataFrame, docs: DataFrame, pool: int) -> DataFrame:
     Only words whose stem a query has are kept, so postings of others never move.
     """
     asked = S.stemmed(R.query_terms(queries)).groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
-    return R.bm25(asked, docs, pool, vocabulary=lambda words: words.withColumn("stem", S.stem_udf(F.col("term"))).join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi"))
+    return R.bm25_by_scope(asked, docs, pool, vocabulary=lambda words: words.withColumn("stem", S.stem_udf(F.col("term"))).join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi"))
 
 
 def route(queries: DataFrame, chunks: DataFrame, lettered: list[str]) -> DataFrame:

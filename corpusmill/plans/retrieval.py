@@ -79,7 +79,7 @@ def bm25_feedback(s: SparkSession, d: str) -> DataFrame:
 def bm25_by_document(s: SparkSession, d: str) -> DataFrame:
     """Statistics within each rule: the scope is what is searched."""
     docs = rule_chunks(s, d).where("rule IS NOT NULL").withColumn("scope", F.col("rule"))
-    hits = R.bm25(R.query_terms(asked(s, d)), docs, 1)
+    hits = R.bm25_by_scope(R.query_terms(asked(s, d)), docs, 1)
     return hits.select("query_id", F.col("scope").alias("rule"), F.col("id").alias("chunk_id"), "score")
 
 

@@ -86,6 +86,53 @@ def test_lanes_are_the_same_in_blocks_of_queries(spark, monkeypatch):
     assert run() == whole and len(whole[1]) == 27
 
 
+def _lexical_case(spark):
+    rng = random.Random(4)
+    words = "court order guardian motion notice appeal rule 872".split()
+    docs = [(f"d{i:03d}", "the " + " ".join(rng.choices(words, k=rng.randrange(0, 9))), rng.choice(words)) for i in range(150)] + [("nul", None, None), ("non", "unrelated", "")]
+    queries = [(f"q{i}", " ".join(rng.choices(words, k=1 + i % 4)) + " rule") for i in range(7)] + [("none", "zzz"), ("nul", None)]
+    return spark.createDataFrame(queries, "query_id string, query_text string"), spark.createDataFrame([("s", *x) for x in docs], "scope string, id string, text string, heading string")
+
+
+def test_bm25_scores_where_postings_are(spark, monkeypatch):
+    """The same hits as by joins of pairs, in blocks of queries and documents too, and no join or row of a pair that isn't among the best of a task."""
+    queries, docs = _lexical_case(spark)
+    terms, shown = R.query_terms(queries), lambda df: sorted(map(tuple, df.select("query_id", "id", "score").collect()))
+    ranked = lambda df: {(r.query_id, r.rank): (r.id, r.score) for r in df.collect()}
+    want = ranked(R.bm25_by_scope(terms, docs, 9))
+    hits = R.bm25(terms, docs, 9)
+    assert ranked(hits) == want and len(want) == 63 and "Join" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(R, "SCORED_CELLS", 20)
+    assert ranked(R.bm25(terms, docs, 9)) == want
+    monkeypatch.setattr(R, "BROADCAST_CELLS", 90)
+    assert ranked(R.bm25(terms, docs, 9)) == want
+    assert shown(R.bm25(terms, docs, None)) == shown(R.bm25_by_scope(terms, docs, 1000))
+    assert R.bm25(terms, docs.limit(0), 9).count() == 0 and R.bm25(terms.limit(0), docs, 9).count() == 0
+
+
+def test_best_keeps_ties_by_id_and_trigrams_equal_their_definition():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for pool in (1, 3, 50):
+        best, rows = R.Best(["a", "b"], pool, 2), []
+        for _ in range(6):
+            ids, scores = [f"i{rng.randrange(10**6):06d}" for _ in range(40)], np.array([[rng.randrange(-2, 6) / 10 for _ in range(2)] for _ in range(40)])
+            rows += [(q, -scores[i, j], ids[i]) for i in range(40) for j, q in enumerate("ab") if scores[i, j] > 0]
+            best.add(scores, pa.array(ids))
+            best.cut()
+        got = sorted((r["query_id"], -r["score"], r["id"]) for b in best.taken() for r in b.to_pylist())
+        assert got == [x for q in "ab" for x in sorted(r for r in rows if r[0] == q)[:pool]]
+    texts = ["Ab  c-3ä", None, "İx", "aaaa aaaa"]
+    row, gram, share = R._grams(texts)
+    for i, t in enumerate(texts):
+        count = Counter(w[j : j + 3] for w in (f" {x} " for x in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (t or "").lower()).split()) for j in range(len(w) - 2))
+        norm = math.sqrt(sum(n * n for n in count.values()))
+        number = lambda g: sum(" abcdefghijklmnopqrstuvwxyz0123456789".index(c) * 37 ** (2 - k) for k, c in enumerate(g))
+        assert dict(zip(gram[row == i].tolist(), share[row == i].tolist())) == pytest.approx({number(g): n / norm for g, n in count.items()})
+
+
 def test_dates(spark):
     for text, key in (("on 2024-03-09.", (2024, 3, 9)), ("3/9/2024", (2024, 3, 9)), ("3-9-24", (2024, 3, 9)), ("Rev. 03/2021", (2021, 3, 0)), ("edition of 1999", (1999, 0, 0)), ("no date 12345", None), (None, None)):
         got = value(spark, dates.date_key(F.lit(text).cast("string")))
