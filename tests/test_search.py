@@ -110,6 +110,19 @@ def test_bm25_scores_where_postings_are(spark, monkeypatch):
     assert R.bm25(terms, docs.limit(0), 9).count() == 0 and R.bm25(terms.limit(0), docs, 9).count() == 0
 
 
+def test_synonyms_and_feedback_add_terms_without_moving_texts(spark, tmp_path):
+    queries, docs = _lexical_case(spark)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, terms = spark.read.parquet(str(tmp_path / "docs")), R.query_terms(queries)
+    more = R.with_synonyms(terms, spark.createDataFrame([("g", "court"), ("g", "motion")], "group_id string, form string"))
+    assert "Join" not in R.bm25(more, docs, 5)._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in R.bm25(more, docs, 5).collect()}
+    assert got == {(r.query_id, r.rank): (r.id, r.score) for r in R.bm25_by_scope(more, docs, 5).collect()}
+    fed = R.with_feedback(terms, R.bm25(terms, docs, 5), docs)
+    assert {r.term for r in fed.where("weight = 0.3").collect()} <= set("court order guardian motion notice appeal rule 872".split())
+    assert "strategy=broadcast" in fed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_best_keeps_ties_by_id_and_trigrams_equal_their_definition():
     import numpy as np
     import pyarrow as pa
