@@ -55,14 +55,15 @@ def full_text(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
     Words and phrases are matched as they are, in any letter case. A query is looked up by the words of one clause without
     a negation (the one with the fewest ways), so documents are joined by words and never by all queries; one in which
-    everything is negated or that is blank holds for none.
+    everything is negated or that is blank holds for none. The queries are broadcast, whatever size is estimated for
+    either side: a text is held against its queries where it is read, and only ids move.
     """
     asked = queries.select("query_id", parsed_udf(F.col("query_text")).alias("clauses"))
     sure = F.filter("clauses", lambda c: F.forall(c, lambda x: ~x["neg"]))
     key = F.array_sort(F.transform(sure, lambda c: F.struct(F.size(c).alias("n"), F.transform(c, lambda x: F.element_at(F.split(x["phrase"], " "), 1)).alias("words"))))
     asked = asked.where(F.size(sure) > 0).select("query_id", "clauses", F.explode(F.array_distinct(key[0]["words"])).alias("word"))
     words = docs.select("id", plain_words(F.col("text")).alias("plain"))
-    hit = words.select("id", "plain", F.explode(F.array_distinct(F.split(F.trim("plain"), " "))).alias("word")).join(asked, "word")
+    hit = words.select("id", "plain", F.explode(F.array_distinct(F.split(F.trim("plain"), " "))).alias("word")).join(F.broadcast(asked), "word")
     has = lambda x: F.contains(F.col("plain"), F.concat(F.lit(" "), x["phrase"], F.lit(" ")))
     holds = F.forall("clauses", lambda c: F.exists(c, lambda x: has(x) != x["neg"]))
     return hit.where(holds).select("query_id", "id").distinct()

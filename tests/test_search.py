@@ -86,6 +86,14 @@ def test_lanes_are_the_same_in_blocks_of_queries(spark, monkeypatch):
     assert run() == whole and len(whole[1]) == 27
 
 
+def test_full_text_broadcasts_queries_and_never_texts(spark, tmp_path):
+    spark.createDataFrame([("d1", "red blue " * 50), ("d2", "blue"), ("d3", None)], "id string, text string").write.parquet(str(tmp_path / "docs"))
+    queries = spark.createDataFrame([("q", "red")], "query_id string, query_text string")  # of unknown size to the planner, unlike the documents
+    hits = S.full_text(queries, spark.read.parquet(str(tmp_path / "docs")))
+    plan = hits._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and [tuple(r) for r in hits.collect()] == [("q", "d1")]
+
+
 def _lexical_case(spark):
     rng = random.Random(4)
     words = "court order guardian motion notice appeal rule 872".split()
