@@ -26,8 +26,8 @@ def full_text(s: SparkSession, d: str) -> DataFrame:
 def full_text_ranked(s: SparkSession, d: str) -> DataFrame:
     """The matches of each full-text query by BM25 over its words."""
     queries = s.createDataFrame([(q, t) for q, t in ASKED if "-" not in t], "query_id string, query_text string")
-    scores = R.bm25(R.query_terms(queries), kb(s, d), 1_000_000)
-    hits = scores.join(S.full_text(queries, kb(s, d)), ["query_id", "id"], "left_semi").drop("rank")
+    scores = R.bm25(R.query_terms(queries), kb(s, d), None)
+    hits = scores.join(S.full_text(queries, kb(s, d)), ["query_id", "id"], "left_semi")
     return R.top(hits, K).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
