@@ -9,6 +9,7 @@ from corpusmill.operators import evaluation as E
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import search as S
 from corpusmill.plans.retrieval import _KB, _bm25_sql, _grams_sql, _toks, asked, kb
+from corpusmill.session import materialise
 from corpusmill.sources.tables import table
 
 K = 10
@@ -37,28 +38,36 @@ def indexed(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.lit("rules").alias("scope"), F.col("chunk_id").alias("id"), "text", F.coalesce("rule_title", F.lit("")).alias("heading"), F.coalesce("rule", F.lit("")).alias("rule"), "chapter", F.col("embedding").alias("vector"), "citations")
 
 
-def index_queries(s: SparkSession, d: str) -> DataFrame:
+def index_of(s: SparkSession, d: str) -> DataFrame:
+    """The index written once: a search reads it several times, and the last deliveries would be sorted out anew each time."""
+    return materialise(indexed(s, d), "index")
+
+
+def index_queries(docs: DataFrame) -> DataFrame:
     """One chunk in a hundred by its id: its title as words, its vector; every other one asks for its chapter."""
     h = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")
     good = F.expr("size(vector) = 64 AND NOT exists(vector, x -> x IS NULL OR isnan(x)) AND exists(vector, x -> x <> 0)")
-    return indexed(s, d).where((h % 100 == 0) & good).select(F.col("id").alias("query_id"), F.col("heading").alias("query_text"), "vector", F.when(h % 200 == 0, F.col("chapter")).alias("chapter"))
+    return docs.where((h % 100 == 0) & good).select(F.col("id").alias("query_id"), F.col("heading").alias("query_text"), "vector", F.when(h % 200 == 0, F.col("chapter")).alias("chapter"))
 
 
 def index_search(s: SparkSession, d: str) -> DataFrame:
     """Facets, both lanes, fusion, and the best chunk of each rule."""
-    return S.search(index_queries(s, d), indexed(s, d), K, facets=("chapter",), group="rule").withColumnRenamed("id", "chunk_id")
+    docs = index_of(s, d)
+    return S.search(index_queries(docs), docs, K, facets=("chapter",), group="rule").withColumnRenamed("id", "chunk_id")
 
 
 def verified_search(s: SparkSession, d: str) -> DataFrame:
     """As index_search, over chunks of runs whose contents were reconciled, chunk by chunk."""
     runs = table(s, d, "parse_runs").where("toc_reconciled").select("run_id")
     good = table(s, d, "chunks").where("chunk_id IS NOT NULL").join(runs, "run_id", "left_semi").select(F.col("chunk_id").alias("id"))
-    return S.search(index_queries(s, d), indexed(s, d), K, verified=good).withColumnRenamed("id", "chunk_id")
+    docs = index_of(s, d)
+    return S.search(index_queries(docs), docs, K, verified=good).withColumnRenamed("id", "chunk_id")
 
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     """Vectors and words, forty of each, by reciprocal ranks."""
-    q, docs = index_queries(s, d), indexed(s, d)
+    docs = index_of(s, d)
+    q = index_queries(docs)
     lanes = {"lex": (R.bm25(R.query_terms(q), docs, 40), 1.0), "vec": (R.dense(q, docs.select("id", "vector"), 40), 1.0)}
     return R.fuse(lanes, K).select("query_id", F.col("id").alias("chunk_id"), "score", "lane", "rank")
 
@@ -77,7 +86,8 @@ def citation_router(s: SparkSession, d: str) -> DataFrame:
 
 def engine_search(s: SparkSession, d: str) -> DataFrame:
     """The routed chunk first, then both lanes of sixty by reciprocal ranks. Every query also names its first citation."""
-    q, docs = index_queries(s, d), indexed(s, d)
+    docs = index_of(s, d)
+    q = index_queries(docs)
     first = docs.where("size(citations) > 0").select(F.col("id").alias("query_id"), F.get("citations", F.lit(0)).alias("c"))
     q = q.join(first, "query_id").withColumn("query_text", F.concat("c", F.lit(" "), "query_text"))
     lanes = {"bm25": (R.bm25(R.query_terms(q), docs, 60), 1.0), "dense": (R.dense(q, docs.select("id", "vector"), 60), 1.0)}
@@ -90,7 +100,8 @@ def stemmed_topk(s: SparkSession, d: str) -> DataFrame:
 
 def lane_comparison(s: SparkSession, d: str) -> DataFrame:
     """How often each lane alone, and both together, find another chunk of the query's rule among the first ten: an ablation."""
-    q, docs = index_queries(s, d).drop("chapter"), indexed(s, d)
+    docs = index_of(s, d)
+    q = index_queries(docs).drop("chapter")
     own = docs.where("rule <> ''").select(F.col("id").alias("query_id"), "rule")
     gold = own.join(docs.select("id", "rule"), "rule").where("id <> query_id").select("query_id", "id")
     lex, vec = R.bm25(R.query_terms(q), docs, 40), R.dense(q, docs.select("id", "vector"), 40)

@@ -12,6 +12,7 @@ from corpusmill.functions.stem import stem
 from corpusmill.operators import documents
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import search as S
+from corpusmill.plans import search as P
 
 
 def value(spark, expr):
@@ -154,6 +155,14 @@ def test_best_keeps_ties_by_id_and_trigrams_equal_their_definition():
         assert dict(zip(gram[row == i].tolist(), share[row == i].tolist())) == pytest.approx({number(g): n / norm for g, n in count.items()})
 
 
+@pytest.mark.parametrize("name", ["engine_search"])
+def test_searches_make_the_index_once(spark, monkeypatch, name):
+    made, indexed = [], P.indexed
+    monkeypatch.setattr(P, "indexed", lambda s, d: made.append(d) or indexed(s, d))
+    P.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+
+
 def test_dates(spark):
     for text, key in (("on 2024-03-09.", (2024, 3, 9)), ("3/9/2024", (2024, 3, 9)), ("3-9-24", (2024, 3, 9)), ("Rev. 03/2021", (2021, 3, 0)), ("edition of 1999", (1999, 0, 0)), ("no date 12345", None), (None, None)):
         got = value(spark, dates.date_key(F.lit(text).cast("string")))
