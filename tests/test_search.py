@@ -155,7 +155,7 @@ def test_best_keeps_ties_by_id_and_trigrams_equal_their_definition():
         assert dict(zip(gram[row == i].tolist(), share[row == i].tolist())) == pytest.approx({number(g): n / norm for g, n in count.items()})
 
 
-@pytest.mark.parametrize("name", ["engine_search", "hybrid_search"])
+@pytest.mark.parametrize("name", ["engine_search", "hybrid_search", "index_search"])
 def test_searches_make_the_index_once(spark, monkeypatch, name):
     made, indexed = [], P.indexed
     monkeypatch.setattr(P, "indexed", lambda s, d: made.append(d) or indexed(s, d))
@@ -163,6 +163,13 @@ def test_searches_make_the_index_once(spark, monkeypatch, name):
     assert len(made) == 1
 
 
+def test_trigrams_of_many_queries_are_one_pass(spark):
+    queries = spark.createDataFrame([(f"q{i:04d}", f"word{i}") for i in range(1500)] + [("long", "".join(random.Random(3).choices("abcdefgh ", k=900)))], "query_id string, query_text string")
+    hits = R.char_grams(queries, spark.createDataFrame([("d", "word7 word1499")], "id string, text string"), 3)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {"q0007", "q1499"} <= {r.query_id for r in hits.collect()}
+
+
 def test_dates(spark):
     for text, key in (("on 2024-03-09.", (2024, 3, 9)), ("3/9/2024", (2024, 3, 9)), ("3-9-24", (2024, 3, 9)), ("Rev. 03/2021", (2021, 3, 0)), ("edition of 1999", (1999, 0, 0)), ("no date 12345", None), (None, None)):
         got = value(spark, dates.date_key(F.lit(text).cast("string")))
