@@ -155,7 +155,7 @@ def test_best_keeps_ties_by_id_and_trigrams_equal_their_definition():
         assert dict(zip(gram[row == i].tolist(), share[row == i].tolist())) == pytest.approx({number(g): n / norm for g, n in count.items()})
 
 
-@pytest.mark.parametrize("name", ["engine_search", "hybrid_search", "index_search"])
+@pytest.mark.parametrize("name", ["engine_search", "hybrid_search", "index_search", "verified_search"])
 def test_searches_make_the_index_once(spark, monkeypatch, name):
     made, indexed = [], P.indexed
     monkeypatch.setattr(P, "indexed", lambda s, d: made.append(d) or indexed(s, d))
