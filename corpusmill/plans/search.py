@@ -98,13 +98,19 @@ def stemmed_topk(s: SparkSession, d: str) -> DataFrame:
     return S.stemmed_bm25(asked(s, d), kb(s, d), K).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
+def of_one_rule(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (query_id, id) that are two chunks of one rule. Only pairs that were hit are looked at, never all pairs of a rule."""
+    rules = docs.where("rule <> ''").select("id", "rule")
+    asked = rules.join(F.broadcast(pairs.select(F.col("query_id").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("rule").alias("asked"))
+    return pairs.where("id <> query_id").join(rules, "id").join(asked, "query_id").where("rule = asked").select("query_id", "id")
+
+
 def lane_comparison(s: SparkSession, d: str) -> DataFrame:
     """How often each lane alone, and both together, find another chunk of the query's rule among the first ten: an ablation."""
     docs = index_of(s, d)
     q = index_queries(docs).drop("chapter")
-    own = docs.where("rule <> ''").select(F.col("id").alias("query_id"), "rule")
-    gold = own.join(docs.select("id", "rule"), "rule").where("id <> query_id").select("query_id", "id")
-    lex, vec = R.bm25(R.query_terms(q), docs, 40), R.dense(q, docs.select("id", "vector"), 40)
+    lex, vec = materialise(R.bm25(R.query_terms(q), docs, 40), "lex"), materialise(R.dense(q, docs.select("id", "vector"), 40), "vec")
+    gold = of_one_rule(lex.select("query_id", "id").unionByName(vec.select("query_id", "id")).distinct(), docs)
     out = None
     for name, hits in (("bm25", lex), ("dense", vec), ("both", R.fuse({"a": (lex, 1.0), "b": (vec, 1.0)}, 40)), ("both_half", R.fuse({"a": (lex, 0.5), "b": (vec, 1.0)}, 40))):
         part = E.recall_mrr(E.first_relevant(hits.where("id <> query_id"), gold, q)).withColumn("lane", F.lit(name))

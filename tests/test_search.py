@@ -155,7 +155,13 @@ def test_best_keeps_ties_by_id_and_trigrams_equal_their_definition():
         assert dict(zip(gram[row == i].tolist(), share[row == i].tolist())) == pytest.approx({number(g): n / norm for g, n in count.items()})
 
 
-@pytest.mark.parametrize("name", ["engine_search", "hybrid_search", "index_search", "verified_search"])
+def test_hits_of_one_rule(spark):
+    docs = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", ""), ("e", "")], "id string, rule string")
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "c"), ("d", "e"), ("gone", "b")], "query_id string, id string")
+    assert [tuple(r) for r in P.of_one_rule(pairs, docs).collect()] == [("a", "b")]
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "engine_search", "index_search", "verified_search", "lane_comparison"])
 def test_searches_make_the_index_once(spark, monkeypatch, name):
     made, indexed = [], P.indexed
     monkeypatch.setattr(P, "indexed", lambda s, d: made.append(d) or indexed(s, d))
